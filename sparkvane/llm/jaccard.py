@@ -287,9 +287,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, crowd: in
     left = stage.put(rooted.join(spread, "sig"))
     few, many = left.where(F.col("size") <= crowd).drop("size"), left.where(F.col("size") > crowd).drop("size")
     if not many.isEmpty():
-        for again in range(seed + 4, seed + 7):  # a linked pair shares a signature by every partition
-            many = _split(many, texts, n, percent, again)
-        few = few.union(many)
+        # a linked pair shares a signature by any partition, strangers that have a passage in common seldom by two
+        again = stage.put(_split(many, texts, n, percent, seed + 4))
+        mixed = again.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
+        few = few.union(again.join(mixed, "sig"))
     if not few.isEmpty():
         x, y = few.distinct().selectExpr("sig", "node a", "root ra"), few.distinct().selectExpr("sig", "node b", "root rb")
         across = x.join(y, "sig").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
