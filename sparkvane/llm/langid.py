@@ -119,3 +119,18 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     asked = pick(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return asked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents with a predicted language of at least this probability, columns unchanged; the text alone decides."""
+    shared = spark.sparkContext.broadcast((model.langs, model.logp))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                if own.langs:
+                    _, sure = own.predict(part["text"])
+                    yield part.filter(pa.array(sure >= least))
+
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -18,6 +18,13 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_pieces
+
+    coded = encode_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_ids", F.crc32("token_ids").alias("ids_crc32"), "round_trip")
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import dedup_substrings
 
@@ -30,6 +37,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chroma import align, fingerprints, render
+
+    return align(fingerprints(render(read(spark, sf_dir, "embeddings"))))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
 
@@ -65,7 +78,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op3_substrings, op4_licenses, op6_language, op7_top_k, op8_personal_data, op9_shards, op10_jaccard)
+    f.__name__: f for f in (op1_pack, op2_pieces, op3_substrings, op4_licenses, op5_chroma, op6_language, op7_top_k, op8_personal_data, op9_shards, op10_jaccard)
 }
 
 ORACLE_SQL: dict[str, str] = {
