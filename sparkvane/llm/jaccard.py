@@ -12,9 +12,11 @@ threshold differ in at most H shingles, so of m > H segments at least m - H are
 * A set is indexed by the scheme of its own band, and by that of the band below if a
   partner may lie there; the smaller set's band decides for a pair.
 
-Equal sets are one node from the start. Nodes that share a signature are first verified
-against one of the group; groups that then lie in one component are done, and in the others
-pairs across components are filtered by segment sketches and verified exactly.
+Equal sets are one node from the start. Groups of nodes that share a signature aren't expanded
+into pairs: each node is verified against its group's hub. Where a hub's nodes then lie in
+several components, a cluster of bounded size is settled in one task, which returns only links
+that join components; of a larger one, nodes that differ from the hub in a common shingle (others
+have no link that the hub doesn't carry) form smaller groups, and so on.
 """
 
 from __future__ import annotations
@@ -170,15 +172,26 @@ def signatures(doc: np.ndarray, code: np.ndarray, size: np.ndarray, percent: int
     return np.concatenate(out_doc).astype(np.int64), np.concatenate(out_key)
 
 
-def linked(a: pa.Array, b: pa.Array, n: int, percent: int) -> np.ndarray:
-    """Whether 100 * intersection >= percent * union, for each pair of texts, counted exactly."""
+def compare(a: pa.Array, b: pa.Array, n: int, percent: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each pair of texts: whether 100 * intersection >= percent * union, counted exactly;
+    and the first H + 1 shingles that a has and b hasn't, or else b has and a hasn't."""
     (da, ca, na), (db, cb, nb) = shingles(a, n), shingles(b, n)
-    doc, code = np.concatenate([da, db]), np.concatenate([ca, cb])
+    doc, code, ours = np.concatenate([da, db]), np.concatenate([ca, cb]), np.arange(len(da) + len(db)) >= len(da)
     order = np.lexsort((code, doc))
-    doc, code = doc[order], code[order]
+    doc, code, ours = doc[order], code[order], ours[order]
     same = (doc[1:] == doc[:-1]) & (code[1:] == code[:-1])
     common = np.bincount(doc[1:][same], minlength=len(a))
-    return (100 * common >= percent * (na + nb - common)) & (common > 0)
+    alone = np.ones(len(doc), bool)
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    doc, code, ours = doc[alone], code[alone], ours[alone]
+    order = np.lexsort((code, ours, doc))
+    doc, code = doc[order], code[order]
+    begin = np.searchsorted(doc, np.arange(len(a) + 1))
+    s = scheme(percent)
+    most = s.differ(na, s.largest(na)) + 1
+    ends = np.minimum(begin[1:], begin[:-1] + most)
+    return (100 * common >= percent * (na + nb - common)) & (common > 0), [code[x:y] for x, y in zip(begin[:-1].tolist(), ends.tolist(), strict=True)]
 
 
 INDEX = "sig long, node long, doc_id long, n int, check long"
@@ -225,35 +238,84 @@ def _texts(docs: DataFrame, nodes: DataFrame, n: int, seed: int, broadcast_rows:
     return found.mapInArrow(check, "node long, text string").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are linked."""
+def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame:
+    """node, hub, linked, rest for each node that shares a group (sig, node) with that hub, but for known ones.
+
+    A group's hub is its node with most neighbours by signatures: in a family of copies, the one
+    that they are copies of.
+    """
+    sizes = stage.put(members.groupBy("sig").agg(F.count("*").alias("size")))
+    ranks = stage.put(members.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("rank")))
+    hubs = stage.put(members.join(ranks, "node").groupBy("sig").agg(F.max(F.struct("rank", "node")).alias("top")).select("sig", F.col("top.node").alias("hub")))
+    pairs = members.join(hubs, "sig").where("node <> hub").select("node", "hub").distinct()
+    pairs = stage.put(pairs if known is None else pairs.join(known, ["node", "hub"], "left_anti"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.slices(batch, "x", 1_000_000):
-                ok = linked(part["x"], part["y"], n, percent)
-                yield pa.RecordBatch.from_arrays([part["a"].filter(pa.array(ok)), part["b"].filter(pa.array(ok))], names=["a", "b"])
+                ok, rest = compare(part["x"], part["y"], n, percent)
+                yield pa.RecordBatch.from_arrays([part["node"], part["hub"], pa.array(ok), pa.array([r.view(np.int64) for r in rest], pa.list_(pa.int64()))], names=["node", "hub", "linked", "rest"])
 
-    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x, y = texts.withColumnRenamed("text", "x"), texts.select(F.col("node").alias("hub"), F.col("text").alias("y"))
+    return stage.put(pairs.join(x, "node").join(y, "hub").select("node", "hub", "x", "y").mapInArrow(run, "node long, hub long, linked boolean, rest array<long>"))
 
 
-def _split(members: DataFrame, texts: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """Members of groups (sig, node, root) in smaller groups: those that also share a signature by another partition of the universe."""
+def within(table: pa.Table, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the texts of a group of bounded size that join what roots and links so far don't.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernel.slices(batch, "text"):
-                doc, code, size = shingles(part["text"], n, seed)
-                for lower in (False, True):
-                    d, key = signatures(doc, code, size, percent, lower)
-                    yield pa.RecordBatch.from_arrays([part["node"].take(pa.array(d)), pa.array(key.view(np.int64))], names=["node", "again"])
-
-    more = texts.join(members.select("node").distinct(), "node").mapInArrow(run, "node long, again long")
-    return members.join(more, "node").select(F.xxhash64("sig", "again").alias("sig"), "node", "root")
+    Each set's overlaps with all others come from the postings of its shingles.
+    """
+    text = pa.chunked_array(table["text"]).combine_chunks()
+    node, (_, at) = table["node"].to_numpy(), np.unique(table["root"].to_numpy(), return_inverse=True)
+    doc, code, size = shingles(text, n)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], doc[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    times = np.diff(np.append(first, len(code)))
+    group = np.empty(len(code), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), times)
+    begin = np.searchsorted(doc, np.arange(len(size) + 1))
+    out = []
+    for x in range(len(size)):
+        mine = group[begin[x] : begin[x + 1]]
+        mine = mine[times[mine] > 1]
+        if not len(mine):
+            continue
+        k = times[mine]
+        upto = np.cumsum(k)
+        common = np.bincount(owner[np.arange(upto[-1]) + np.repeat(first[mine] - (upto - k), k)], minlength=len(size))
+        for y in np.flatnonzero((common > 0) & (100 * common >= percent * (size + size[x] - common)) & (at != at[x])).tolist():
+            if at[x] != at[y]:
+                out.append((node[x], node[y]))
+                at[at == at[y]] = at[x]
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _settled(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) inside clusters (hub, node, root) of bounded size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = within(table, n, percent)
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return clusters.join(texts, "node").select("hub", "node", "root", "text").groupBy("hub").applyInArrow(run, "a long, b long")
+
+
+def _refined(clusters: DataFrame, stars: DataFrame, stage: Stage) -> DataFrame:
+    """Smaller groups (sig, node) of clusters (hub, node, root): of what may be linked without the hub knowing.
+
+    Let d(x) be the shingles in which x differs from its hub. Linked x and y with disjoint
+    d(x) and d(y) are both linked to the hub, as sets that differ in at most k * (|x| + |y|)
+    are linked, and |d(x)| + |d(y)| is that difference. Others share a shingle of d(x) and d(y), and one
+    among the first H + 1 of each (the prefix filter, as the overlap is |d(x)| - H at least).
+    """
+    parts = stage.put(clusters.join(stars, ["hub", "node"]).select("node", "root", F.explode(F.transform("rest", lambda t: F.xxhash64("hub", t))).alias("sig")))
+    mixed = stage.put(parts.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig"))
+    return stage.put(parts.join(mixed, "sig").select("sig", "node").distinct())
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, crowd: int = 32, broadcast_rows: int = 300_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 300_000, most: int = 4096, most_shingles: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; two rows link at Jaccard >= percent / 100.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; the set is of distinct
@@ -266,38 +328,36 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, crowd: in
     for seed in range(4):
         table = stage.put(index(docs, n, percent, seed))
         rows = table.where("sig is null and n > 0 and doc_id is not null")
-        nodes = stage.put(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("c0"), F.max("check").alias("c1")))
+        nodes = stage.put(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")))
         if nodes.where("c0 <> c1").isEmpty():  # else two sets share a hash: other hashes then
             break
         stage.drop(table)
-    nodes = nodes.select("node", "doc_id")
+    sizes, nodes = nodes.select("node", "n"), nodes.select("node", "doc_id")
     stage.free()
     signed = table.where("sig is not null").select("sig", "node")
-    groups = stage.put(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"))
-    members = stage.put(signed.join(groups.hint("shuffle_hash"), "sig"))
+    groups = stage.put(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"))
+    members = stage.put(signed.join(groups.hint("shuffle_hash"), "sig").distinct())
     stage.free()
-    star = members.select(F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("lo").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b")
-    pairs = stage.put(star.distinct())
     texts = stage.put(_texts(docs, members.select("node").distinct().join(nodes, "node"), n, seed, broadcast_rows))
-    links = stage.put(_verified(pairs, texts, n, percent))
-    roots = connected_components(links, stage)
-    # groups that still lie in several components: pairs across these
-    rooted = stage.put(members.select("sig", "node").distinct().join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")))
-    spread = rooted.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1 and size > 2").select("sig", "size")
-    left = stage.put(rooted.join(spread, "sig"))
-    few, many = left.where(F.col("size") <= crowd).drop("size"), left.where(F.col("size") > crowd).drop("size")
-    if not many.isEmpty():
-        # a linked pair shares a signature by any partition, strangers that have a passage in common seldom by two
-        again = stage.put(_split(many, texts, n, percent, seed + 4))
-        mixed = again.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
-        few = few.union(again.join(mixed, "sig"))
-    if not few.isEmpty():
-        x, y = few.distinct().selectExpr("sig", "node a", "root ra"), few.distinct().selectExpr("sig", "node b", "root rb")
-        across = x.join(y, "sig").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = stage.put(_verified(across, texts, n, percent))
-        if not more.isEmpty():
-            roots = connected_components(links.union(more), stage)
-    roots = stage.put(roots)
+    stars, roots = None, nodes.limit(0).selectExpr("node", "node root")
+    while not members.isEmpty():
+        fresh = _starred(members, stars, texts, n, percent, stage)
+        if fresh.isEmpty():  # every pair of a node and a hub is tested once, so this ends
+            break
+        stars = fresh if stars is None else stars.union(fresh)
+        links = fresh.where("linked").selectExpr("node a", "hub b").union(roots.selectExpr("node a", "root b"))
+        roots = stage.put(connected_components(links, stage))
+        # hubs whose nodes still lie in several components
+        hubs = fresh.select("hub").distinct()
+        rooted = stage.put(stars.join(hubs, "hub").select("hub", "node").join(roots, "node", "left").join(sizes, "node").select("hub", "node", F.coalesce("root", "node").alias("root"), "n"))
+        spread = rooted.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k"), F.sum("n").alias("total")).where("r0 <> r1")
+        spread = stage.put(spread.select("hub", ((F.col("k") <= most) & (F.col("total") <= most_shingles)).alias("small")))
+        open_ = stage.put(rooted.join(spread, "hub").select("hub", "node", "root", "small"))
+        small, large = open_.where("small").drop("small"), open_.where("not small").drop("small")
+        if not small.isEmpty():
+            found = stage.put(_settled(small, texts, n, percent))
+            roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))
+        members = _refined(large, stars, stage)
     named = roots.join(nodes, "node")
     best = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     labels = stage.put(nodes.join(roots.join(best, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "doc_id").alias("component")))
@@ -306,3 +366,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, crowd: in
         .join(labels, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
     )
+
+
+def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The documents that aren't near copies of another with a smaller doc_id in their group.
+
+    A group's document of smallest doc_id stays, whole rows as they are; so do rows with an
+    empty text or a null doc_id, and each row of a repeated doc_id.
+    """
+    first = jaccard_components(docs, n, percent).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_anti").select(*docs.columns)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from sparkvane.llm.common import Stage
 from sparkvane.llm.components import connected_components
-from sparkvane.llm.jaccard import jaccard_components, linked, scheme, shingles, signatures
+from sparkvane.llm.jaccard import compare, jaccard_components, scheme, shingles, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,9 +94,19 @@ def test_against_brute_force(docs, seed):
     assert got(jaccard_components(docs(rows))) == brute(rows)
 
 
-def test_crowded_groups_are_split_exactly(docs, monkeypatch):
-    rows = corpus(7, 120)
-    assert got(jaccard_components(docs(rows), crowd=2, broadcast_rows=0, percent=70)) == brute(rows, percent=70)
+def test_families_of_copies(docs):
+    """Many copies of one text, each with edits, some shared: most pairs aren't linked, chains are."""
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows, shared = [], [(r.randrange(120), f"s{i}") for i in range(6)]
+    for i in range(150):
+        words = list(base)
+        for _ in range(r.randint(0, 5)):
+            at, w = r.choice(shared) if r.random() < 0.5 else (r.randrange(120), f"e{r.randrange(10**6)}")
+            words[at] = w
+        rows.append((i, " ".join(words)))
+    assert got(jaccard_components(docs(rows), broadcast_rows=0)) == brute(rows)
+    assert got(jaccard_components(docs(rows[:60]), percent=90, most=8)) == brute(rows[:60], percent=90)
 
 
 def test_odd_rows(docs, clashing, odd):
@@ -109,7 +119,7 @@ def test_odd_rows(docs, clashing, odd):
 def test_linked_counts_exactly():
     a = pa.array([" ".join(f"a{i}" for i in range(103)), "x", "", "p q r s t"])
     b = pa.array([" ".join(f"a{i}" for i in range(88)), "x", "", "p q r s u"])
-    assert linked(a, b, 4, 85).tolist() == [True, True, False, False] and linked(a, b, 4, 86).tolist() == [False, True, False, False]
+    assert compare(a, b, 4, 85)[0].tolist() == [True, True, False, False] and compare(a, b, 4, 86)[0].tolist() == [False, True, False, False]
     assert shingles(a, 4)[2].tolist() == [100, 1, 0, 2]
 
 
