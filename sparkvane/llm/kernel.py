@@ -86,7 +86,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words_of(texts: pa.Array, letters: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
+def words_of(texts: pa.Array, letters: np.ndarray, lower: bool = False, hashed: bool = True, tail: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words of each text. With `tail`, a last byte of its first class after one of its second is a word of its own."""
     data, offsets = text_bytes(texts)
     if lower:
         data = LOWER[data]
@@ -99,6 +100,11 @@ def words_of(texts: pa.Array, letters: np.ndarray, lower: bool = False, hashed:
     edges = edges[(edges > 0) & (edges < len(data))]
     begins[edges] |= inside[edges]
     ends[edges - 1] |= inside[edges - 1]
+    if tail:
+        at = np.flatnonzero(ends)
+        at = at[tail[0][data[at]] & ~begins[at]]
+        at = at[tail[1][data[at - 1]]]
+        begins[at] = ends[at - 1] = True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
     codes = np.zeros(0, np.uint64)
@@ -124,7 +130,7 @@ def runs(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     return code, at + length <= last[: n - length + 1]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `limit` bytes of text (a longer text stands alone)."""
     if batch.num_rows == 0:
         return

@@ -12,10 +12,11 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import kernel
 from .common import pick
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, token_ids binary"
@@ -104,44 +105,84 @@ def pack(lengths: np.ndarray, capacity: int, slack: int) -> list[tuple[int, int,
     return pieces
 
 
+_STOP = np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x30:0x3A] = _PLAIN[0x41:0x5B] = _PLAIN[0x61:0x7B] = True
+
+
 class CachedTokenizer:
-    """Ids of texts by a tokenizer that drops white space and never joins ids across it.
+    """Ids of texts by a lower-casing tokenizer that drops white space and never joins ids across it.
 
-    Texts are split at ASCII white space; each distinct word is encoded once, and ids
-    are gathered by numpy. The cache is emptied when it holds `most` words.
+    Texts are split at ASCII white space, and before a comma or full stop that ends a word
+    (such a tokenizer parts these too); each distinct word is encoded once. Words are known by
+    64-bit hash. New ones are encoded together, with a special token between them. The cache
+    is emptied when it would hold more than `most` words.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, np.ndarray] = {}
+        self.mark = "<|startoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.first = self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        flat, size = [], []
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            joined = self.mark.join(part)
+            if joined.count("<|") == len(part) - 1:
+                ids = np.array(self.tokenizer.encode_batch_fast([joined + self.mark], add_special_tokens=False)[0].ids, np.uint32)
+                stops = np.flatnonzero(ids == self.mark_id)
+                flat.append(ids[ids != self.mark_id])
+                size.append(np.diff(stops, prepend=-1) - 1)
+            else:
+                for got in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                    flat.append(np.array(got.ids, np.uint32))
+                    size.append(np.array([len(got.ids)]))
+        return np.concatenate([*flat, np.zeros(0, np.uint32)]), np.concatenate([*size, np.zeros(0, np.int64)]).astype(np.int64)
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and how many each text has."""
-        words = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
-        per_text = np.diff(np.asarray(words.offsets))
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > self.most:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, np.uint32)
-        lists = [self.known[w] for w in distinct]
-        lists.append(np.array([end], np.uint32))  # the word after each text
-        size = np.array([len(x) for x in lists], np.int64)
-        flat, first = np.concatenate(lists), np.concatenate([[0], np.cumsum(size)[:-1]])
-        ends = np.cumsum(per_text)
-        order = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(distinct))
-        n = size[order]
-        index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[order], n)
-        upto = np.concatenate([[0], np.cumsum(n)])
-        doc_end = upto[ends + np.arange(1, len(ends) + 1)]
-        return flat[index], np.diff(doc_end, prepend=0)
+        data, _ = kernel.text_bytes(texts)
+        special = b"<|" in data.tobytes()  # special tokens are told by their case
+        words = kernel.words_of(texts, kernel.NOT_SPACE, lower=not special, tail=None if special else (_STOP, _PLAIN))
+        code, distinct = pd.factorize(words.hash)
+        if len(self.keys) + len(distinct) > self.most:
+            self.clear()
+        place = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != distinct[inside]
+        if new.any():
+            some = np.zeros(len(distinct), np.int64)
+            some[code[::-1]] = np.arange(len(code))[::-1]  # a place of each word
+            at, raw = some[new], words.data.tobytes()
+            flat, size = self.encode([raw[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
+            keys = np.concatenate([self.keys, distinct[new]])
+            order = np.argsort(keys)
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.keys, self.flat = keys[order], np.concatenate([self.flat, flat])
+            place = np.searchsorted(self.keys, distinct)
+        n = np.append(self.size[place], 1)
+        first = np.append(self.first[place], len(self.flat))  # the last "word" is `end`
+        order = np.insert(code, words.first[1:], len(distinct))
+        n = n[order]
+        upto = np.cumsum(n)
+        flat = np.append(self.flat, np.uint32(end))
+        ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first[order] - (upto - n), n)]
+        doc_end = upto[words.first[1:] + np.arange(len(texts))]
+        return ids, np.diff(doc_end, prepend=0)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, slack: int = 64, block_tokens: int = 8_000_000) -> DataFrame:
@@ -157,8 +198,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .kernel import slices
-
         coder = CachedTokenizer(tokenizer_path)
         base = TaskContext.get().partitionId() << 40
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
@@ -182,7 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
             base += last + 1
 
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
+            for part in kernel.slices(batch, "text", 4_000_000):
                 held.append((part["doc_id"], *coder.ids(part["text"], end_id)))
                 if sum(len(x[1]) for x in held) >= block_tokens:
                     yield from flush()
