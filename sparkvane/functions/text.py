@@ -1,15 +1,18 @@
-"""Deterministic feature-hash embeddings of text, in built-in functions."""
+"""Deterministic feature-hash embeddings of text: as built-in functions, and as a numpy kernel over Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import fnv32
+from .hashing import MASK, OFFSET_32, PRIME_32, fnv32
 
 MAX_DIMENSIONS = 65_536
 
@@ -50,7 +53,97 @@ def embed_slots(df: DataFrame, key: str, text: str, dimensions: int, fold: bool
     return weight.join(norm, key).select(key, "slot", (F.col("w") / F.col("norm")).alias("value"))
 
 
-def embed_text(df: DataFrame, key: str, text: str, dimensions: int, fold: bool = True) -> DataFrame:
-    """key, vector (array of floats) of each text that has one."""
-    filled = embed_slots(df, key, text, dimensions, fold).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
-    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("float")).alias("vector"))
+_WORD = re.compile(r"[^\W_]+")
+LONG = 48
+
+
+def _steps(state: np.ndarray, units: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash states after `length` units of each row."""
+    for k in range(units.shape[1]):
+        more = length > k
+        state = np.where(more, ((state ^ units[:, k]) * PRIME_32) & MASK, state)
+    return state
+
+
+def _units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-16 code units of words, a row for each, and their numbers."""
+    raw = [np.frombuffer(w.encode("utf-16-le", "surrogatepass"), "<u2") for w in words]
+    length = np.array([len(r) for r in raw], np.int64)
+    out = np.zeros((len(raw), int(length.max(initial=0))), np.uint64)
+    out[np.arange(out.shape[1])[None, :] < length[:, None]] = np.concatenate(raw) if raw else []
+    return out, length
+
+
+def _hash_words(words: list[str]) -> np.ndarray:
+    state = np.zeros(len(words), np.uint64)
+    for bound in (8, LONG, None):
+        some = [i for i, w in enumerate(words) if (bound is None or len(w) <= bound) and (bound == 8 or len(w) > (8 if bound == LONG else LONG))]
+        for at in range(0, len(some), 4096 if bound else 16):
+            part = some[at : at + (4096 if bound else 16)]
+            units, length = _units([words[i] for i in part])
+            state[part] = _steps(np.full(len(part), OFFSET_32, np.uint64), units, length)
+    return state
+
+
+def embed_block(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of texts, and which have one."""
+    found = [_WORD.findall(unicodedata.normalize("NFKC", t.lower())) if t else [] for t in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(w) for w in found])
+    code, distinct = pd.factorize(np.array([w for f in found for w in f], object))
+    distinct = list(distinct)
+    grid = np.zeros(len(texts) * dimensions)
+
+    def add(where: np.ndarray, h: np.ndarray) -> None:
+        sign = np.where(h >= 2**31, -1.0, 1.0)
+        grid[:] += np.bincount(where * dimensions + (h % dimensions).astype(np.int64), sign, len(grid))
+
+    if len(doc):
+        state = _hash_words(distinct)
+        add(doc, state[code])
+        near = np.flatnonzero(doc[1:] == doc[:-1])
+        pair, pairs = pd.factorize(code[near] * len(distinct) + code[near + 1])
+        joint = state[pairs // len(distinct)]
+        for c in (58, 58):
+            joint = ((joint ^ c) * PRIME_32) & MASK
+        second = pairs % len(distinct)
+        size = np.array([len(w) for w in distinct])[second]
+        for low, high in ((0, 8), (8, LONG), (LONG, 1 << 60)):
+            some = np.flatnonzero((size > low) & (size <= high))
+            for at in range(0, len(some), 4096 if high <= LONG else 16):
+                part = some[at : at + (4096 if high <= LONG else 16)]
+                units, length = _units([distinct[i] for i in second[part]])
+                joint[part] = _steps(joint[part], units, length)
+        add(doc[near], joint[pair])
+        parts = [[w[i : i + 3] for i in range(len(w) - 2)] for w in distinct]
+        three, trigrams = pd.factorize(np.array([p for x in parts for p in x], object))
+        if len(three):
+            h = _hash_words([f"#{t}" for t in trigrams])[three]
+            n = np.array([len(x) for x in parts])
+            first = np.cumsum(n) - n
+            many = n[code]
+            index = np.arange(many.sum()) + np.repeat(first[code] - (np.cumsum(many) - many), many)
+            add(np.repeat(doc, many), h[index])
+    out = grid.reshape(len(texts), dimensions)
+    norm = np.sqrt((out * out).sum(1))
+    return (out / np.where(norm == 0, 1, norm)[:, None]).astype("f4"), norm > 0
+
+
+def embed_text(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame:
+    """key, vector (array of floats) of each text that has one, by numpy over Arrow batches; no shuffle.
+
+    The values are those of embed_slots.
+    """
+    if not 1 <= dimensions <= MAX_DIMENSIONS:
+        raise ValueError(f"dimensions must be between 1 and {MAX_DIMENSIONS}")
+
+    def run(batches):
+        for batch in batches:
+            rows = max(1, min(500, 4_000_000 // dimensions))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                body, ok = embed_block(part["text"].to_pylist(), dimensions)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(body) + 1, dtype="i4") * dimensions), pa.array(body.ravel()))
+                yield pa.RecordBatch.from_arrays([part["key"].filter(pa.array(ok)), vectors.filter(pa.array(ok))], names=[key, "vector"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, vector array<float>")

@@ -40,6 +40,11 @@ def recent(ops: DataFrame, n: int = 200) -> DataFrame:
     return ops.orderBy(F.desc("at"), F.desc("seq")).limit(n)
 
 
+def recent_jobs(jobs: DataFrame, n: int = 10) -> DataFrame:
+    """The last jobs (job, …), newest first."""
+    return jobs.orderBy(F.desc("job")).limit(n)
+
+
 def fleet(shards: DataFrame) -> DataFrame:
     return shards.agg(F.countDistinct("name").alias("collections"), F.sum("live_vectors").alias("vectors"), F.sum("resident_bytes").alias("bytes"))
 

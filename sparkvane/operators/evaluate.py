@@ -22,6 +22,12 @@ def latency_summary(ops: DataFrame, by: list[str], value: str) -> DataFrame:
     return ops.groupBy(*by).agg(F.count("*").alias("n"), disc(0.5, "p50"), disc(0.95, "p95"), disc(0.99, "p99"), F.coalesce(F.max(value), F.lit(0.0)).alias("max_millis"))
 
 
+def telemetry(ops: DataFrame) -> DataFrame:
+    """Latencies of the successful searches that are still among the kept operations (type, status, latency_millis)."""
+    searches = ops.where("type = 'search' and status = 'ok'")
+    return latency_summary(searches, [], "latency_millis")
+
+
 def ground_truth(queries: DataFrame, records: DataFrame, metric: str, k: int) -> DataFrame:
     return batch_top_k(queries, records, metric, k)
 

@@ -28,6 +28,15 @@ def decode(code: Column, low: Column, scale: Column) -> Column:
     return F.zip_with(F.zip_with(code, scale, lambda c, s: c * s), low, lambda d, m: d + m)
 
 
+def seal(records: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Model and codes of an immutable snapshot, written below a path and read back."""
+    spark = records.sparkSession
+    train(records).write.parquet(f"{path}/model")
+    model = spark.read.parquet(f"{path}/model")
+    records.crossJoin(F.broadcast(model)).select("id", encode(F.col("vector"), F.col("low"), F.col("scale")).alias("code")).write.parquet(f"{path}/codes")
+    return model, spark.read.parquet(f"{path}/codes")
+
+
 def approximate_distance(query: Column, code: Column, low: Column, scale: Column, metric: str) -> Column:
     """Distance to the decoded vector; by cosine, a zero vector is infinitely far."""
     body = decode(code, low, scale)

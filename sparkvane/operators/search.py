@@ -48,19 +48,22 @@ def _block(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1 - dots / norms
 
 
-def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10, cells: int | None = None, block_queries: int = 65_536) -> DataFrame:
+def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10, cells: int | None = None, block_queries: int = 65_536, by: str | None = None, digits: int = 12) -> DataFrame:
     """qid, rank, id, distance: the exact k nearest records of every query (qid, vector), ties by id.
 
     Records stay in cells and query blocks of bounded size come to each; a cell keeps k rows a
     query, so that what is merged doesn't grow with the records in it. Numpy works on whole Arrow batches.
+    With `by`, a column of both tables says which cells meet. Distances are rounded to `digits` places, so
+    that equal vectors tie wherever a block's arithmetic puts them.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     spark = records.sparkSession
     cells = cells or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(1, -(-queries.count() // block_queries))
-    asked = queries.select("qid", F.col("vector").alias("v"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    there = records.select("id", F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    asked = queries.select("qid", F.col("vector").alias("v"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), (F.col(by) if by else every).alias("cell"))
+    there = records.select("id", F.col("vector").alias("v"), (F.col(by) if by else F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")).alias("cell")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def near(q: pa.Table, x: pa.Table) -> pa.Table:
         if not q.num_rows or not x.num_rows:
@@ -70,7 +73,7 @@ def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10
         body, ids, asked_, names = dense(x), x["id"].to_numpy(), dense(q), q["qid"].to_numpy()
         out = []
         for at in range(0, len(asked_), 256):
-            d = _block(body, asked_[at : at + 256], metric)
+            d = np.round(_block(body, asked_[at : at + 256], metric), digits)
             best = np.argsort(d, 1, kind="stable")[:, :k]
             out.append((np.repeat(names[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel()))
         return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["qid", "id", "distance"])

@@ -157,12 +157,17 @@ def text_embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.groupBy("doc_id").agg(F.count("*").alias("n_slots"), shown(F.sum(F.col("value") * (F.col("slot") + 1)), 5).alias("weighted"))
 
 
-@query("knn_text")
+@query("knn_text", f"""
+WITH {_SLOTS.format(key='doc_id', text='text', table='documents', dims=128)},
+{_SLOTS.format(key='item_id', text='text', table='benchmark', dims=128).replace('tok ', 'tok2 ').replace('FROM tok)', 'FROM tok2)').replace('f AS (', 'f2 AS (').replace('FROM f ', 'FROM f2 ').replace('u AS (', 'u2 AS (').replace('FROM u)', 'FROM u2)').replace('h AS (', 'h2 AS (').replace('FROM h ', 'FROM h2 ').replace('s AS (', 's2 AS (').replace('e AS (', 'e2 AS (').replace('FROM s ', 'FROM s2 ')},
+d AS (SELECT q.k AS qid, r.id, 1 - coalesce(sum(q.value * e.value), 0) AS distance FROM (SELECT DISTINCT k AS id FROM e) r CROSS JOIN e2 q LEFT JOIN e ON e.k = r.id AND e.slot = q.slot GROUP BY 1, 2),
+n AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(distance, 6), id) AS INTEGER) AS rank, id, distance FROM d)
+SELECT qid, rank, id, round(distance, 4) + 0 AS distance FROM n WHERE rank <= 3""")
 def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three documents nearest to each benchmark text, by embeddings of 128 dimensions."""
     docs = embed_text(table(spark, sf_dir, "documents"), "doc_id", "text", 128).withColumnRenamed("doc_id", "id")
     asked_ = embed_text(table(spark, sf_dir, "benchmark"), "item_id", "text", 128).withColumnRenamed("item_id", "qid")
-    return search.batch_top_k(asked_, docs, "cosine", 3).select("qid", "rank", "id", shown(F.col("distance")).alias("distance"))
+    return search.batch_top_k(asked_, docs, "cosine", 3, digits=6).select("qid", "rank", "id", shown(F.col("distance"), 4).alias("distance"))
 
 
 _LOG = """lg AS (SELECT event_id + 1 AS lsn, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, user_id + 1 AS id,
@@ -437,10 +442,17 @@ def uint64_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", formats.positive_uint64(text).cast("string").alias("parsed"), formats.valid_name(F.col("s_name")).alias("named"))
 
 
-@query("synthetic_vectors")
+@query("synthetic_vectors", """
+WITH RECURSIVE s AS (SELECT CAST(i + 1 AS BIGINT) AS id, CAST(i % 16 AS INTEGER) AS cluster, 0 AS pos,
+ xor(CAST(42 + i + 1 AS UBIGINT), (CAST(i % 16 + 1 AS UBIGINT) * CAST(2654435761 AS UBIGINT)) % CAST(4294967296 AS UBIGINT)) AS state FROM (SELECT unnest(range(0, 1000)) AS i)
+ UNION ALL SELECT id, cluster, pos + 1, (state * CAST(1664525 AS UBIGINT) + CAST(1013904223 AS UBIGINT)) % CAST(4294967296 AS UBIGINT) FROM s WHERE pos < 32),
+v AS (SELECT id, cluster, pos - 1 AS pos, CASE WHEN (pos - 1) % 16 = cluster % 16 THEN 0.8e0 ELSE 0e0 END + (state / 4294967295e0 - 0.5e0) * 0.35e0 AS x FROM s WHERE pos > 0)
+SELECT id, cluster, round(sum(CAST(CAST(x / norm AS FLOAT) AS DOUBLE) * (pos + 1)), 4) + 0 AS weighted FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS norm FROM v) GROUP BY id, cluster""")
 def synthetic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = codec.seeded_vectors(spark, 1000, 64, 42)
-    return rows.select("id", "cluster", shown(squared_norm(F.col("vector")), 4).alias("norm2"))
+    """A thousand clustered unit vectors of 32 dimensions, as a weighted sum of their components."""
+    rows = codec.seeded_vectors(spark, 1000, 32, 42)
+    weights = F.array(*[F.lit(float(i + 1)) for i in range(32)])
+    return rows.select("id", "cluster", shown(dot_product(F.col("vector"), weights), 4).alias("weighted"))
 
 
 @query("engine_cycle")
@@ -479,3 +491,95 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     acks: list[dict[str, object]] = []
     ingest(spark.readStream.schema(REQUEST).parquet(f"{root}/requests"), engine, f"{root}/checkpoint", acks).awaitTermination()
     return spark.createDataFrame([(a["idempotency_key"], a["applied"], len(a["errors"])) for a in acks], "idempotency_key string, applied long, n_errors int")
+
+
+@query("point_get", "SELECT vec_id + 1 AS id, CAST(1 AS BIGINT) AS generation, label FROM embeddings WHERE vec_id + 1 = 42")
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).where("id = 42").select("id", "generation", "label")
+
+
+@query("owner_counts", f"SELECT CAST({_SHARD64.format(k='vec_id + 1')} % 3 AS INTEGER) AS shard, count(*) AS n FROM embeddings GROUP BY 1")
+def owner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records dealt out to their owners, counted where they are: the partitioning by shard is used again."""
+    return routing.by_owner(records(spark, sf_dir), "id", 3).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query("owner_endpoints", f"WITH {_RING} SELECT DISTINCT replace(r[1], 'node-', '10.0.0.') || ':7000' AS endpoint FROM rp")
+def owner_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    return catalogs.endpoints(routing.placements(spark, nodes, 12, 2), nodes)
+
+
+@query("health_summary", "SELECT count(*) AS nodes, count(*) FILTER (WHERE s_suppkey % 4 <> 0) AS active, CAST(3 AS INTEGER) AS collections FROM supplier WHERE s_suppkey <= 9")
+def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.health(_nodes(spark, sf_dir), 3)
+
+
+@query("telemetry_snapshot", """
+WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 200), s AS (SELECT value FROM r WHERE event_type = 'view')
+SELECT count(*) AS n, coalesce(quantile_disc(value, 0.5), 0) AS p50, coalesce(quantile_disc(value, 0.95), 0) AS p95, coalesce(quantile_disc(value, 0.99), 0) AS p99, coalesce(max(value), 0) AS max_millis FROM s""")
+def telemetry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies of successful searches (here: views) among the 200 newest operations."""
+    ops = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("value").alias("latency_millis"))
+    return evaluate.telemetry(catalogs.recent(ops, 200).withColumn("type", F.when(F.col("type") == "view", "search").otherwise(F.col("type"))).withColumn("status", F.lit("ok")))
+
+
+@query("recent_jobs", "SELECT event_id AS job, event_type AS state FROM (SELECT * FROM events WHERE user_id % 2 = 0 ORDER BY event_id DESC LIMIT 10)")
+def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.col("event_id").alias("job"), F.col("event_type").alias("state"))
+    return catalogs.recent_jobs(jobs)
+
+
+@query("upload_defaults", """
+SELECT CAST(item_id AS INTEGER) AS ord, CASE WHEN item_id % 2 = 0 THEN item_id + 1 ELSE 1700000000000 * 1000 + item_id END AS id, CAST(1 AS BIGINT) AS generation, CAST(32 AS INTEGER) AS dims, text FROM benchmark""")
+def upload_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads with missing ids, generations and vectors, filled in."""
+    b = table(spark, sf_dir, "benchmark")
+    up = b.select(F.col("item_id").cast("int").alias("ord"), F.when(F.col("item_id") % 2 == 0, F.col("item_id") + 1).alias("id"), F.lit(None).cast("long").alias("generation"), "text", F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("string").alias("payload"))
+    return validate.with_defaults(up, 32, 1_700_000_000_000).select("ord", "id", "generation", F.size("vector").alias("dims"), F.get_json_object("payload", "$.text").alias("text"))
+
+
+@query("payload_rules", "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'key' WHEN event_id % 4 = 2 THEN 'value' END AS error FROM events")
+def payload_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with payloads, a half of them spoiled."""
+    m = F.col("event_id") % 4
+    text = F.when(m == 1, F.lit('{"": 1}')).when(m == 2, F.lit('{"a": [1]}')).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", validate.payload_error(text).alias("error"))
+
+
+@query("normalised_vectors", "SELECT vec_id + 1 AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) + 0 AS norm, CAST(len(embedding) AS INTEGER) AS dims, true AS unit FROM embeddings")
+def normalised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vector")
+    return records(spark, sf_dir).select("id", shown(F.sqrt(squared_norm(v)), 4).alias("norm"), F.size(normalised(v)).alias("dims"), (F.abs(squared_norm(normalised(v)) - 1) < 1e-5).alias("unit"))
+
+
+@query("range_of_values", "SELECT CAST(pos AS INTEGER) AS pos, round(min(x), 6) + 0 AS low, round(max(x), 6) + 0 AS high FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY pos")
+def range_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(shown(F.min(F.col("x").cast("double"))).alias("low"), shown(F.max(F.col("x").cast("double"))).alias("high"))
+
+
+@query("newest_notes", "SELECT conv_id, turn, trim(text) AS text FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 20")
+def newest_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("text"))
+    return notes.orderBy(F.desc("conv_id"), F.desc("turn")).limit(20)
+
+
+@query("ivf_search")
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search of the cells nearest to each query, with its recall against the exact result."""
+    from ..operators import ivf
+
+    rows, queries = records(spark, sf_dir).select("id", "vector"), asked(spark, sf_dir)
+    model = ivf.train(rows, cells=16)
+    found = ivf.search(queries, ivf.assign(rows, model), model, "l2", 10, nprobe=12)
+    return evaluate.recall_at_k(found, evaluate.ground_truth(queries, rows, "l2", 10), queries.count(), rows.count(), 10)
+
+
+@query("stress_run")
+def stress_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stress run in a collection of its own; which gates it passes."""
+    from ..plans.engine import Engine
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkvane-stress-")
+    got = evaluate.stress(Engine(spark, f"{root}/stress-{uuid.uuid4().hex}"), 64, vectors=1000, queries=200)
+    return spark.createDataFrame([(k, bool(v)) for k, v in evaluate.gate(got).items()], "gate string, passed boolean")
