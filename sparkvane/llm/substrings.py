@@ -113,6 +113,17 @@ def stretches(part: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBatch
     )
 
 
+def _later(place: np.ndarray, start: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """Which occurrences aren't their passage's first."""
+    rank = np.lexsort((start, place, passage))
+    p, s, g = place[rank], start[rank], passage[rank]
+    lead = np.append(True, g[1:] != g[:-1])[: len(g)]
+    head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    out = np.zeros(len(g), bool)
+    out[rank] = (p != p[head]) | (s != s[head])
+    return out
+
+
 MARKS = "place long, text_key long, start int, mask int, w0 long, w1 long"
 
 
@@ -135,36 +146,49 @@ def locate(table: pa.Table, window: int, phrase: int) -> pa.Table:
     if len(distinct) >= 0x10FFFF - 0xE000:
         raise ValueError("a shard has more different words than there are code points")
     text = (code + 0xE000).astype("<u4").tobytes().decode("utf-32-le")
-    # windows: every `wide` symbols from a stretch's start on, up to its stop
-    count = n + 2 - wide
-    at = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    owner = np.repeat(np.arange(len(n)), count)
-    offset = at - begin[owner]
     up, down = kernel._words_power.upto(len(symbol) + 1)
     digests = []
     for salt in (0, 0x9FB21C651E98DF25):
         sums = np.zeros(len(symbol) + 1, np.uint64)
         np.cumsum(kernel.mix(symbol ^ _U(salt)) * up[: len(symbol)], out=sums[1:])
-        digests.append(kernel.mix((sums[at + wide] - sums[at]) * down[at]))
-    # confirmed passages: contents that more than one place has
-    order = np.argsort(digests[0], kind="stable")
-    same = digests[0][order][1:] == digests[0][order][:-1]
-    opens = np.append(True, ~same) & np.append(same, False)
+        digests.append(sums)
+    digest = lambda k, x, y: kernel.mix((digests[k][y] - digests[k][x]) * down[x])
+    # where all places of an anchor have the same around it, that is one passage; else each window is
+    anchor, group = np.unique(symbol[begin + before], return_inverse=True)
+    whole = digest(0, begin, stop)
+    lead = np.zeros(len(anchor), np.int64)
+    lead[group] = np.arange(len(n))
+    uniform = np.ones(len(anchor), bool)
+    uniform[group[whole != whole[lead[group]]]] = False
+    uniform[group[hot]] = False
+    one = uniform[group]
+    # windows of the others: every `wide` symbols from a stretch's start on, up to its stop
+    count = np.where(one, 0, n + 2 - wide)
+    at = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner = np.repeat(np.arange(len(n)), count)
+    offset = at - begin[owner]
+    content = digest(0, at, at + wide)
+    # confirmed passages: those that more than one place has
+    order = np.argsort(content, kind="stable")
+    same = content[order][1:] == content[order][:-1]
+    opens = order[np.append(True, ~same)[: len(order)] & np.append(same, False)[: len(order)]]
+    several = np.flatnonzero(uniform & (np.bincount(group, minlength=len(anchor)) > 1))
     machine = ahocorasick.Automaton()
-    for i, p in enumerate(at[order[opens]].tolist()):
+    for i, p in enumerate(at[opens].tolist()):
         machine.add_word(text[p : p + wide], i)
-    late = np.zeros(len(at), bool)
+    for i, (p, q) in enumerate(zip(begin[lead[several]].tolist(), stop[lead[several]].tolist(), strict=True), len(opens)):
+        machine.add_word(text[p:q], i)
+    late, late_stretch = np.zeros(len(at), bool), np.zeros(len(n), bool)
     if len(machine):
         machine.make_automaton()
         hits = np.array(list(machine.iter(text)), np.int64).reshape(-1, 2)
-        which = np.searchsorted(at, hits[:, 0] - wide + 1)  # `at` ascends
-        p, s = place[owner[which]], start[owner[which]] + offset[which]
-        rank = np.lexsort((s, p, hits[:, 1]))
-        which, p, s, group = which[rank], p[rank], s[rank], hits[rank, 1]
-        lead = np.append(True, group[1:] != group[:-1])
-        head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        late[which] = (p != p[head]) | (s != s[head])
+        small = hits[:, 1] < len(opens)
+        which = np.searchsorted(at, hits[small, 0] - wide + 1)  # `at` ascends
+        late[which] = _later(place[owner[which]], start[owner[which]] + offset[which], hits[small, 1])
+        which = np.searchsorted(begin, hits[~small, 0], "right") - 1
+        late_stretch[which] = _later(place[which], start[which], hits[~small, 1])
     bits = np.bincount(owner[late], weights=2.0 ** offset[late], minlength=len(n)).astype(np.int64)
+    bits[late_stretch] = (np.int64(1) << (n[late_stretch] + 2 - wide)) - 1
     marked, first = np.flatnonzero(bits), np.flatnonzero(~late & hot[owner])
     null = np.arange(len(marked) + len(first)) < len(marked)
     both = lambda a, b: np.concatenate([a, b])
@@ -172,7 +196,7 @@ def locate(table: pa.Table, window: int, phrase: int) -> pa.Table:
         [
             pa.array(both(place[marked], place[owner[first]])), pa.array(both(key[marked], key[owner[first]])),
             pa.array(both(start[marked], start[owner[first]] + offset[first]).astype(np.int32)), pa.array(both(bits[marked], np.ones(len(first), np.int64)).astype(np.int32)),
-            *(pa.array(both(np.zeros(len(marked), np.int64), d[first].view(np.int64)), mask=null) for d in digests),
+            *(pa.array(both(np.zeros(len(marked), np.int64), digest(k, at[first], at[first] + wide).view(np.int64)), mask=null) for k in (0, 1)),
         ],
         names=["place", "text_key", "start", "mask", "w0", "w1"],
     )
@@ -229,7 +253,7 @@ def repeated_windows(docs: DataFrame, stage: Stage, window: int, phrase: int, pe
                 if (got := stretches(part, window, phrase)) is not None:
                     held.append(got)
                     bulk += got.nbytes
-                if bulk > 48_000_000:
+                if bulk > 12_000_000:
                     yield from flush()
                     bulk = 0
         if held:
@@ -287,7 +311,7 @@ def _with_marks(docs: DataFrame, window: int, phrase: int, per_shard: int, hot:
     return placed.join(marks, ["place", "text_key"], "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<start:int,mask:int>>"))).drop("place", "text_key")
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, phrase: int = 8, per_shard: int = 20_000, hot: int = 4_000, texts: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, phrase: int = 8, per_shard: int = 10_000, hot: int = 4_000, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, with `texts`) for each row.
 
     Words are runs of anything but ASCII white space. A word goes if a window of `window`
@@ -316,7 +340,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, phrase: int = 8, per_sha
     return _with_marks(pick(docs, "doc_id", "text"), window, phrase, per_shard, hot).mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_sha256 string{more}")
 
 
-def without_repeats(docs: DataFrame, window: int = 20, phrase: int = 8, per_shard: int = 20_000, hot: int = 4_000) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 20, phrase: int = 8, per_shard: int = 10_000, hot: int = 4_000) -> DataFrame:
     """The documents with repeated words removed from text (kept words joined by one space); texts without any pass unchanged."""
     schema = docs.schema
 
