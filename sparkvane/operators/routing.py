@@ -144,10 +144,13 @@ class Directory:
 
 
 def heartbeats(beats: DataFrame) -> DataFrame:
-    """node_id, incarnation, last_seen of beats (node_id, incarnation, seen_at): those of a lower incarnation than seen before don't count."""
-    known = Window.partitionBy("node_id").orderBy("seen_at", "incarnation").rowsBetween(Window.unboundedPreceding, 0)
-    valid = beats.where("node_id <> '' and incarnation > 0").withColumn("newest", F.max("incarnation").over(known))
-    return valid.where("incarnation = newest").groupBy("node_id").agg(F.max("incarnation").alias("incarnation"), F.max("seen_at").alias("last_seen"))
+    """node_id, incarnation, last_seen of beats (node_id, incarnation, seen_at), by partial aggregates.
+
+    A beat of a lower incarnation than one before doesn't count, so the last that does is the
+    latest of the highest incarnation.
+    """
+    valid = beats.where("node_id <> '' and incarnation > 0")
+    return valid.groupBy("node_id").agg(F.max(F.struct("incarnation", "seen_at")).alias("b")).select("node_id", "b.incarnation", F.col("b.seen_at").alias("last_seen"))
 
 
 def healthy(last_seen: Column, now: Column, timeout_seconds: int) -> Column:

@@ -10,14 +10,14 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import route_shard
 from ..limits import Conflict, NotFound, StaleGeneration, bounded, collection_name
 from ..operators.filters import Filter
 from ..operators.search import batch_top_k, multi_get, text_top_k, top_k
-from ..operators.validate import batch_errors, chunked, with_defaults
+from ..operators.validate import batch_errors, chunked, row_numbers, with_defaults
 from ..schema import CATALOG, DELETE, LOG, METRIC_CODES, UPSERT
 from ..sources.live import live_view
 
@@ -122,7 +122,7 @@ class Collection:
         n = rows.count()
         if not n:
             return 0
-        numbered = rows.withColumn("lsn", F.lit(self.meta["lsn"]) + F.row_number().over(Window.orderBy("ord"))).select("lsn", F.lit(op).alias("op"), "id", "generation", "vector", "payload", route_shard(F.col("id"), self.engine.shards).alias("shard"))
+        numbered = row_numbers(rows, F.floor(F.col("ord") / 250_000), ["ord"], "nth").select((F.col("nth") + self.meta["lsn"]).alias("lsn"), F.lit(op).alias("op"), "id", "generation", "vector", "payload", route_shard(F.col("id"), self.engine.shards).alias("shard"))
         batch = f"batch={self.meta['lsn']}-{uuid.uuid4().hex[:8]}"
         numbered.repartition("shard").write.partitionBy("shard").parquet(f"{self.engine.store.root}/logs/{self.name}/{batch}")
         self.meta["batches"].append(batch)

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, formats, hashing
@@ -89,6 +89,14 @@ for _metric in ("cosine", "l2", "dot"):
     query(f"knn_{_metric}", _knn_sql(_metric))(_knn(_metric))
 
 
+@query("knn_all", _knn_sql("cosine", 10, "q.id > 0"))
+def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as a query against all records."""
+    rows = records(spark, sf_dir)
+    near = search.batch_top_k(rows.select(F.col("id").alias("qid"), "vector"), rows, "cosine", 10)
+    return near.select("qid", "rank", "id", shown(F.col("distance")).alias("distance"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten records nearest to the first one by cosine distance."""
     rows = records(spark, sf_dir)
@@ -285,8 +293,9 @@ def recent_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upload_chunks", "SELECT conv_id, turn, CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) // 256 + 1 AS BIGINT) AS sequence FROM conversations")
 def upload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads in chunks of 256; an upload is at most 20,000 records, so one window numbers it."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).alias("ord"))
+    """All turns as one upload in chunks of 256, numbered in buckets of conversations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    rows = validate.row_numbers(turns, F.floor(F.col("conv_id") / 10_000), ["conv_id", "turn"], "nth").withColumn("ord", F.col("nth") - 1)
     return validate.chunked(rows).select("conv_id", "turn", "sequence")
 
 

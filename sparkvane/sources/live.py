@@ -12,13 +12,14 @@ def live_view(log: DataFrame) -> DataFrame:
     """lsn and record of every live key of a log (lsn, op, id, generation, …).
 
     The last upsert of a key stands unless a later delete has its generation or a higher one.
-    One aggregate by key does it: the largest generation among deletes after an upsert is
-    what the deletes with a larger lsn than the last upsert have.
+    Upserts are reduced by partial aggregates; deletes meet the one upsert of their key in an inner
+    join, so a key with very many deletes can be split, and only the dead keys are taken away.
     """
     body = [c for c in log.columns if c not in ("op", "id")]
     puts = log.where(F.col("op") == UPSERT).groupBy("id").agg(F.max_by(F.struct(*body), "lsn").alias("r")).select("id", "r.*")
     gone = log.where(F.col("op") == DELETE).select("id", F.col("lsn").alias("dead_lsn"), F.col("generation").alias("dead_generation"))
-    return puts.join(gone, (puts["id"] == gone["id"]) & (gone["dead_lsn"] > puts["lsn"]) & (gone["dead_generation"] >= puts["generation"]), "left_anti")
+    dead = gone.join(puts.select("id", "lsn", "generation"), "id").where("dead_lsn > lsn and dead_generation >= generation").select("id").distinct()
+    return puts.join(dead, "id", "left_anti")
 
 
 def stored_generations(log: DataFrame) -> DataFrame:
