@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -120,7 +121,7 @@ class CachedTokenizer:
     is emptied when it would hold more than `most` words.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -185,6 +186,12 @@ class CachedTokenizer:
         return ids, np.diff(doc_end, prepend=0)
 
 
+@lru_cache(maxsize=2)
+def _coder(path: str) -> CachedTokenizer:
+    """One for each Python worker: later tasks find its cache filled."""
+    return CachedTokenizer(path)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, slack: int = 64, block_tokens: int = 8_000_000) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, token_ids.
 
@@ -198,7 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = CachedTokenizer(tokenizer_path)
+        coder = _coder(tokenizer_path)
         base = TaskContext.get().partitionId() << 40
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
