@@ -1,13 +1,14 @@
 """An engine of named collections over append-only Parquet logs.
 
 Each accepted batch is a folder of its own, written first and then published by naming
-it in the catalog, whose file is replaced as a whole. Readers see published batches only, so a
-failed job leaves nothing behind that counts. One writer at a time.
+it in the next version of the catalog. Readers see published batches only, so a failed job leaves
+nothing behind that counts. One writer at a time: a second one fails to publish.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,16 +41,24 @@ class Store:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        """Writes beside the file, then moves over it; the newest version of a name is what counts."""
-        beside = f"{name}.{uuid.uuid4().hex}"
+    def versions(self, name: str) -> list[str]:
+        """The published versions of a name, oldest first."""
+        if not self.fs.exists(self.path("")):
+            return []
+        found = [str(f.getPath().getName()) for f in self.fs.listStatus(self.path(""))]
+        return sorted(f for f in found if re.fullmatch(rf"{name}-[0-9]{{12}}\.json", f))
+
+    def publish(self, name: str, version: int, text: str, keep: int = 3) -> None:
+        """Makes a text the newest version of a name: written beside, then moved to a place that must be free."""
+        beside, to = f"{name}.{uuid.uuid4().hex}", f"{name}-{version:012d}.json"
         out = self.fs.create(self.path(beside), True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.fs.exists(self.path(name)):
-            self.fs.delete(self.path(name), False)
-        if not self.fs.rename(self.path(beside), self.path(name)):
-            raise OSError(f"could not publish {name}")
+        if self.fs.exists(self.path(to)) or not self.fs.rename(self.path(beside), self.path(to)):
+            self.drop(beside)
+            raise Conflict(f"another writer has published version {version} of {name}")
+        for old in self.versions(name)[:-keep]:
+            self.drop(old)
 
     def drop(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
@@ -60,10 +69,12 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, shards: int = 3) -> None:
         self.spark, self.store, self.shards = spark, Store(spark, root), shards
-        self.state = json.loads(self.store.read("catalog.json") or '{"collections": {}, "acks": {}, "committed": 0}')
+        known = self.store.versions("catalog")
+        self.state = json.loads(self.store.read(known[-1])) if known else {"version": 0, "collections": {}, "acks": {}, "committed": 0}
 
     def _publish(self) -> None:
-        self.store.replace("catalog.json", json.dumps(self.state, sort_keys=True))
+        self.state["version"] += 1
+        self.store.publish("catalog", self.state["version"], json.dumps(self.state, sort_keys=True))
 
     def create(self, name: str, dimensions: int | None = None, metric: str = "cosine", hnsw_m: int | None = None, ef_construction: int | None = None) -> None:
         if collection_name(name) in self.state["collections"]:

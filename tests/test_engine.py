@@ -79,6 +79,16 @@ def test_repeated_keys_and_catalog(engine, rows):
     assert [tuple(r) for r in engine.catalog().collect()] == [("documents", 128, "cosine", 32, 200)]
 
 
+def test_a_second_writer_fails(spark, engine, tmp_path):
+    other = Engine(spark, str(tmp_path / "db"))
+    engine.create("one", 2)
+    with pytest.raises(Conflict):
+        other.create("two", 2)
+    for n in range(5):
+        engine.create(f"c{n}", 2)
+    assert len(engine.store.versions("catalog")) == 3 and Engine(spark, str(tmp_path / "db")).catalog().count() == 6
+
+
 def test_filtered_and_text_search(spark, engine):
     engine.create("t", 32, "cosine")
     c = engine.collection("t")
