@@ -148,6 +148,7 @@ def align(prints: DataFrame, every: int = 20, crowd: int = 1000, most_errors: fl
     links = pairs.mapInArrow(errors, "query long, class_id long, offset int, errors double")
     told = links.groupBy("query").agg(F.count("*").alias("n_links"), F.min(F.struct("errors", "class_id", "offset")).alias("best")).withColumnRenamed("query", "class_id")
     named = stage.put(classes.select("code", "class_id").join(told, "class_id", "left"))
+    stage.only(own, named)
     is_query = F.col("rec_id") % every == 0
     return own.join(named, "code", "left").select(
         "rec_id", F.coalesce("class_id", "rec_id").alias("class_id"), (F.length("code") / 4).cast("long").alias("n_ints"), F.crc32("code").alias("code_crc32"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrow batches hold about so many bytes at most. Texts differ in size by orders of magnitude, so
+#: a bound on rows alone (10,000 by default) says little about a task's memory.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on an Arrow batch's bytes, where it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?[0-9]+)([kmgtpb]*)", spark.conf.get(key, "64m").lower()).groups()
+    held = int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit[:1], 0)
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, by exact name; other columns may clash in any way."""
+    bound_batches(df.sparkSession)
     at = [df.columns.index(name) for name in names]
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"c{i}").alias(name) for i, name in zip(at, names, strict=True)])
@@ -41,21 +57,30 @@ class Stage:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.top = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.held: list[tuple[DataFrame, str]] = []
         self.n = 0
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.top}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes staged tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for table, path in [h for h in self.held if any(h[0] is t for t in tables)]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            self.held = [h for h in self.held if h[0] is not table]
+
+    def only(self, *tables: DataFrame) -> None:
+        """Deletes all staged tables but these, which the result reads."""
+        self.drop(*[t for t, _ in self.held if not any(t is k for k in tables)])
+        self.free()
 
     def free(self) -> None:
         """Lets the driver drop shuffle files of finished jobs now, not at some later collection."""
         self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = df.inputFiles()
-        if path:
-            folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

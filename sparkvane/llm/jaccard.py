@@ -361,6 +361,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     named = roots.join(nodes, "node")
     best = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     labels = stage.put(nodes.join(roots.join(best, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "doc_id").alias("component")))
+    stage.only(table, labels)
     return (
         table.where("sig is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
         .join(labels, "node", "left")

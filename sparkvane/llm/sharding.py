@@ -108,6 +108,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, target_rows: int = 200_00
             (F.col("n0") + F.col("nth")).alias("row"),
         )
     )
+    stage.only(located)
     first = located.groupBy("shard").agg(F.min("row").alias("row0"))
     return located.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("row0")).alias("slot"))
 

@@ -261,7 +261,10 @@ def repeated_windows(docs: DataFrame, stage: Stage, window: int, phrase: int, pe
 
     def shard_marks(table: pa.Table) -> pa.Table:
         batches = [b for blob in table["blob"] for b in pa.ipc.open_stream(blob.as_py())]
-        return locate(pa.Table.from_batches(batches).combine_chunks(), window, phrase)
+        try:
+            return locate(pa.Table.from_batches(batches).combine_chunks(), window, phrase)
+        finally:
+            kernel.tidy()
 
     around = docs.join(found, ["place", "text_key"]).mapInArrow(deal, "shard long, blob binary")
     marks = stage.put(around.groupBy("shard").applyInArrow(shard_marks, MARKS))
@@ -272,7 +275,9 @@ def repeated_windows(docs: DataFrame, stage: Stage, window: int, phrase: int, pe
         .where(F.struct("place", "start") > F.col("head")).select("place", "text_key", "start", "mask")
     )
     every = marks.where("w0 is null").select("place", "text_key", "start", "mask").union(later)
-    return stage.put(every.groupBy("place", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("marks")))
+    found = stage.put(every.groupBy("place", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("marks")))
+    stage.only(found)
+    return found
 
 
 def removed_words(words: kernel.Words, marks: pa.Array, window: int) -> np.ndarray:
@@ -306,7 +311,10 @@ def keep_words(words: kernel.Words, gone: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _with_marks(docs: DataFrame, window: int, phrase: int, per_shard: int, hot: int) -> DataFrame:
     stage = Stage(docs.sparkSession, "substrings")
-    placed = docs.withColumn("place", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("text_key", text_key())
+    placed = docs.withColumn("place", F.coalesce("doc_id", F.lit(-(2**63))))
+    # rows that share a doc_id are told apart by their texts; a key is shuffled with every anchor, so only where there are some
+    shared = not placed.groupBy("place").count().where("count > 1").isEmpty()
+    placed = placed.withColumn("text_key", text_key() if shared else F.lit(0).cast("long"))
     marks = repeated_windows(placed.select("place", "text_key", F.coalesce("text", F.lit("")).alias("text")), stage, window, phrase, per_shard, hot)
     return placed.join(marks, ["place", "text_key"], "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<start:int,mask:int>>"))).drop("place", "text_key")
 
