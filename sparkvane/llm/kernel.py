@@ -7,7 +7,8 @@ code points give the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,6 +131,23 @@ def runs(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     return code, at + length <= last[: n - length + 1]
 
 
+def _trimmer() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_trim = _trimmer()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, beside one another."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `limit` bytes of text (a longer text stands alone)."""
     if batch.num_rows == 0:
@@ -140,6 +158,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterat
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, min(to, batch.num_rows) - at)
         at = to
+    tidy()
 
 
 def unique_sorted(group: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -89,10 +89,17 @@ def fit(docs: DataFrame, rows_per_language: int = 4000) -> Model:
                     label = np.repeat(which, ends - first)[: len(bucket)]
                     inside = np.arange(len(bucket)) + order <= np.repeat(ends, ends - first)[: len(bucket)]
                     table += np.bincount(label[inside] * BUCKETS + bucket[inside], minlength=table.size).reshape(table.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["counts"])
+        used = np.flatnonzero(table.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype("i4")), pa.array([table[k].tobytes() for k in used.tolist()], pa.binary())], names=["lang", "counts"])
+
+    def total(part: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(c.as_py(), np.int64) for c in part["counts"])
+        return pa.table([part["lang"].slice(0, 1), pa.array([whole.tobytes()], pa.binary())], names=["lang", "counts"])
 
     drawn = known.where(lot < share).select("lang", "text").repartition(8)
-    table = sum(np.frombuffer(r.counts, np.int64).reshape(len(langs), BUCKETS) for r in drawn.mapInArrow(count, "counts binary").collect()) + 0.5
+    table = np.full((len(langs), BUCKETS), 0.5)
+    for row in drawn.mapInArrow(count, "lang int, counts binary").groupBy("lang").applyInArrow(total, "lang int, counts binary").collect():  # a row for each language
+        table[row.lang] += np.frombuffer(row.counts, np.int64)
     return Model(langs, np.log(table / table.sum(1, keepdims=True)).T.astype(np.float32))
 
 
