@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,5 +84,11 @@ class Stage:
         self.free()
 
     def free(self) -> None:
-        """Lets the driver drop shuffle files of finished jobs now, not at some later collection."""
+        """Lets the driver drop shuffle files of finished jobs now, not at some later collection.
+
+        A finished frame is often part of a cycle in Python, and its shuffle is known to be unused
+        only when both sides have collected it; the cleaner then works in the background.
+        """
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

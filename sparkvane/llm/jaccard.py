@@ -336,6 +336,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     stage.free()
     signed = table.where("sig is not null").select("sig", "node")
     groups = stage.put(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"))
+    stage.free()
     members = stage.put(signed.join(groups.hint("shuffle_hash"), "sig").distinct())
     stage.free()
     texts = stage.put(_texts(docs, members.select("node").distinct().join(nodes, "node"), n, seed, broadcast_rows))

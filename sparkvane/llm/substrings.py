@@ -225,6 +225,7 @@ def repeated_windows(docs: DataFrame, stage: Stage, window: int, phrase: int, pe
 
     seen = stage.put(docs.mapInArrow(anchors, "anchor long, times long, place long, text_key long"))
     recurring = stage.put(seen.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"))
+    stage.free()
     total = recurring.agg(F.sum("times")).first()[0] or 0
     salted = recurring.select("anchor", F.ceil(F.col("times") / hot).cast("int").alias("salts"))
     found = stage.put(seen.join(salted.hint("shuffle_hash"), "anchor").groupBy("place", "text_key").agg(F.collect_set(F.struct("anchor", "salts")).alias("found")))
