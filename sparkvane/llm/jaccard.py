@@ -34,8 +34,8 @@ from .common import Stage, pick
 from .components import connected_components
 
 _U = np.uint64
-BAND = 1.35
-SPARE = 1.3
+BAND = 2.0
+SPARE = 1.1
 
 
 class Scheme:
