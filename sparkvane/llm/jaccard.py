@@ -223,10 +223,14 @@ def index(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, INDEX)
 
 
+def _sent(ids: DataFrame, broadcast_rows: int) -> DataFrame:
+    """A table of ids alone: broadcast while it has few rows, so that texts needn't be shuffled; else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, n: int, seed: int, broadcast_rows: int) -> DataFrame:
     """node, text of the asked nodes (node, doc_id): the text of that doc_id that gives the node's set."""
-    small = nodes.count() <= broadcast_rows
-    found = pick(docs, "doc_id", "text").join(F.broadcast(nodes) if small else nodes, "doc_id").select("node", "text")
+    found = pick(docs, "doc_id", "text").join(_sent(nodes, broadcast_rows), "doc_id").select("node", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +242,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, n: int, seed: int, broadcast_rows:
     return found.mapInArrow(check, "node long, text string").dropDuplicates(["node"])
 
 
-def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame:
+def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: int, percent: int, stage: Stage, broadcast_rows: int) -> DataFrame:
     """node, hub, linked, rest for each node that shares a group (sig, node) with that hub, but for known ones.
 
     A group's hub is its node with most neighbours by signatures: in a family of copies, the one
@@ -257,7 +261,7 @@ def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: i
                 yield pa.RecordBatch.from_arrays([part["node"], part["hub"], pa.array(ok), pa.array([r.view(np.int64) for r in rest], pa.list_(pa.int64()))], names=["node", "hub", "linked", "rest"])
 
     x, y = texts.withColumnRenamed("text", "x"), texts.select(F.col("node").alias("hub"), F.col("text").alias("y"))
-    return stage.put(pairs.join(x, "node").join(y, "hub").select("node", "hub", "x", "y").mapInArrow(run, "node long, hub long, linked boolean, rest array<long>"))
+    return stage.put(x.join(_sent(pairs, broadcast_rows), "node").join(y, "hub").select("node", "hub", "x", "y").mapInArrow(run, "node long, hub long, linked boolean, rest array<long>"))
 
 
 def within(table: pa.Table, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,14 +296,14 @@ def within(table: pa.Table, n: int, percent: int) -> tuple[np.ndarray, np.ndarra
     return found[:, 0], found[:, 1]
 
 
-def _settled(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _settled(clusters: DataFrame, texts: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
     """Links (a, b) inside clusters (hub, node, root) of bounded size."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b = within(table, n, percent)
         return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return clusters.join(texts, "node").select("hub", "node", "root", "text").groupBy("hub").applyInArrow(run, "a long, b long")
+    return texts.join(_sent(clusters, broadcast_rows), "node").select("hub", "node", "root", "text").groupBy("hub").applyInArrow(run, "a long, b long")
 
 
 def _refined(clusters: DataFrame, stars: DataFrame, stage: Stage) -> DataFrame:
@@ -342,7 +346,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     texts = stage.put(_texts(docs, members.select("node").distinct().join(nodes, "node"), n, seed, broadcast_rows))
     stars, roots = None, nodes.limit(0).selectExpr("node", "node root")
     while not members.isEmpty():
-        fresh = _starred(members, stars, texts, n, percent, stage)
+        fresh = _starred(members, stars, texts, n, percent, stage, broadcast_rows)
         if fresh.isEmpty():  # every pair of a node and a hub is tested once, so this ends
             break
         stars = fresh if stars is None else stars.union(fresh)
@@ -356,7 +360,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
         open_ = stage.put(rooted.join(spread, "hub").select("hub", "node", "root", "small"))
         small, large = open_.where("small").drop("small"), open_.where("not small").drop("small")
         if not small.isEmpty():
-            found = stage.put(_settled(small, texts, n, percent))
+            found = stage.put(_settled(small, texts, n, percent, broadcast_rows))
             roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))
         members = _refined(large, stars, stage)
     named = roots.join(nodes, "node")
