@@ -16,7 +16,8 @@ Equal sets are one node from the start. Groups of nodes that share a signature a
 into pairs: each node is verified against its group's hub. Where a hub's nodes then lie in
 several components, a cluster of bounded size is settled in one task, which returns only links
 that join components; of a larger one, nodes that differ from the hub in a common shingle (others
-have no link that the hub doesn't carry) form smaller groups, and so on.
+have no link that the hub doesn't carry) form smaller groups, and so on. A smaller group that was
+tested against its hub before is settled whole, in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -242,8 +243,9 @@ def _texts(docs: DataFrame, nodes: DataFrame, n: int, seed: int, broadcast_rows:
     return found.mapInArrow(check, "node long, text string").dropDuplicates(["node"])
 
 
-def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: int, percent: int, stage: Stage, broadcast_rows: int) -> DataFrame:
-    """node, hub, linked, rest for each node that shares a group (sig, node) with that hub, but for known ones.
+def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: int, percent: int, stage: Stage, broadcast_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """node, hub, linked, rest for each node that shares a group (sig, node) with that hub, but for known ones;
+    and the groups all of whose pairs are known, if any may be.
 
     A group's hub is its node with most neighbours by signatures: in a family of copies, the one
     that they are copies of.
@@ -251,8 +253,11 @@ def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: i
     sizes = stage.put(members.groupBy("sig").agg(F.count("*").alias("size")))
     ranks = stage.put(members.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("rank")))
     hubs = stage.put(members.join(ranks, "node").groupBy("sig").agg(F.max(F.struct("rank", "node")).alias("top")).select("sig", F.col("top.node").alias("hub")))
-    pairs = members.join(hubs, "sig").where("node <> hub").select("node", "hub").distinct()
-    pairs = stage.put(pairs if known is None else pairs.join(known, ["node", "hub"], "left_anti"))
+    pairs, stalled = members.join(hubs, "sig").where("node <> hub"), None
+    if known is not None:
+        pairs = stage.put(pairs.join(known, ["node", "hub"], "left_anti").select("sig", "node", "hub"))
+        stalled = stage.put(members.join(pairs, "sig", "left_anti"))
+    pairs = stage.put(pairs.select("node", "hub").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +266,8 @@ def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: i
                 yield pa.RecordBatch.from_arrays([part["node"], part["hub"], pa.array(ok), pa.array([r.view(np.int64) for r in rest], pa.list_(pa.int64()))], names=["node", "hub", "linked", "rest"])
 
     x, y = texts.withColumnRenamed("text", "x"), texts.select(F.col("node").alias("hub"), F.col("text").alias("y"))
-    return stage.put(x.join(_sent(pairs, broadcast_rows), "node").join(y, "hub").select("node", "hub", "x", "y").mapInArrow(run, "node long, hub long, linked boolean, rest array<long>"))
+    fresh = stage.put(x.join(_sent(pairs, broadcast_rows), "node").join(y, "hub").select("node", "hub", "x", "y").mapInArrow(run, "node long, hub long, linked boolean, rest array<long>"))
+    return fresh, stalled
 
 
 def within(table: pa.Table, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,6 +312,23 @@ def _settled(clusters: DataFrame, texts: DataFrame, n: int, percent: int, broadc
     return texts.join(_sent(clusters, broadcast_rows), "node").select("hub", "node", "root", "text").groupBy("hub").applyInArrow(run, "a long, b long")
 
 
+def _cells(groups: DataFrame, roots: DataFrame, sizes: DataFrame, done: DataFrame | None, most: int, most_shingles: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Cells (hub, node, root) of bounded size in which any two nodes of a group (sig, node) meet, and marks of these groups.
+
+    Groups of equal nodes count once; those in one component or marked as done are left out. A group
+    beyond the bound is dealt into blocks of about a quarter of it, and each two blocks are a cell.
+    """
+    rooted = stage.put(groups.join(roots, "node", "left").join(sizes, "node").select("sig", "node", F.coalesce("root", "node").alias("root"), "n"))
+    each = rooted.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("r0 <> r1")
+    each = each.groupBy("mark", "k", "total").agg(F.min("sig").alias("sig"))
+    each = stage.put(each if done is None else each.join(done, ["mark", "k", "total"], "left_anti"))
+    whole = (F.col("k") <= most) & (F.col("total") <= most_shingles)
+    blocks = F.when(whole, 1).otherwise(F.greatest(F.lit(2), F.ceil(4 * F.col("k") / most), F.ceil(4 * F.col("total") / most_shingles)).cast("int"))
+    dealt = rooted.join(each.select("sig", blocks.alias("blocks")), "sig").withColumn("one", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("one <> other or blocks = 1")
+    return stage.put(dealt.select(F.xxhash64("sig", F.least("one", "other"), F.greatest("one", "other")).alias("hub"), "node", "root")), each.drop("sig")
+
+
 def _refined(clusters: DataFrame, stars: DataFrame, stage: Stage) -> DataFrame:
     """Smaller groups (sig, node) of clusters (hub, node, root): of what may be linked without the hub knowing.
 
@@ -344,14 +367,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     members = stage.put(signed.join(groups.hint("shuffle_hash"), "sig").distinct())
     stage.free()
     texts = stage.put(_texts(docs, members.select("node").distinct().join(nodes, "node"), n, seed, broadcast_rows))
-    stars, roots = None, nodes.limit(0).selectExpr("node", "node root")
+    stars, done, roots = None, None, nodes.limit(0).selectExpr("node", "node root")
+    # a link between two components is inside a group of each round: the hub's cluster takes over what is open in a group
+    # with a new pair, and others are settled. Every pair of a node and a hub is tested once, so this ends
     while not members.isEmpty():
-        fresh = _starred(members, stars, texts, n, percent, stage, broadcast_rows)
-        if fresh.isEmpty():  # every pair of a node and a hub is tested once, so this ends
-            break
+        fresh, stalled = _starred(members, stars, texts, n, percent, stage, broadcast_rows)
         stars = fresh if stars is None else stars.union(fresh)
         links = fresh.where("linked").selectExpr("node a", "hub b").union(roots.selectExpr("node a", "root b"))
         roots = stage.put(connected_components(links, stage))
+        if stalled is not None and not stalled.isEmpty():
+            cells, marks = _cells(stalled, roots, sizes, done, most, most_shingles, stage)
+            done = marks if done is None else done.union(marks)
+            found = stage.put(_settled(cells, texts, n, percent, broadcast_rows))
+            roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))
         # hubs whose nodes still lie in several components
         hubs = fresh.select("hub").distinct()
         rooted = stage.put(stars.join(hubs, "hub").select("hub", "node").join(roots, "node", "left").join(sizes, "node").select("hub", "node", F.coalesce("root", "node").alias("root"), "n"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from sparkvane.llm.common import Stage
 from sparkvane.llm.components import connected_components
-from sparkvane.llm.jaccard import compare, jaccard_components, scheme, shingles, signatures
+from sparkvane.llm.jaccard import _cells, _settled, _starred, compare, jaccard_components, scheme, shingles, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,6 +109,41 @@ def test_families_of_copies(docs):
     assert got(jaccard_components(docs(rows[:30]), percent=90, most=10)) == brute(rows[:30], percent=90)
 
 
+def test_groups_that_are_settled_in_cells(spark):
+    """Groups of several times `most` sets whose pairs with the hub are known: their other links are found."""
+    words = {}
+    for seed in range(12):  # a hub that is linked with nothing, and a chain of copies
+        r, base = random.Random(seed), [f"b{seed}_{i}" for i in range(40)]
+        words[seed * 100] = [f"b{seed}_{i}" for i in range(20)]
+        for i in range(1, 30):
+            base = list(base)
+            base[r.randrange(20, 40)] = f"x{seed}_{i}"
+            words[seed * 100 + i] = base
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in words.items()], "node long, text string")
+    sizes = spark.createDataFrame([(k, len(w)) for k, w in words.items()], "node long, n int")
+    members = spark.createDataFrame([(k // 100, k) for k in words] + [(k // 100 + 1000, k) for k in words if k % 100], "sig long, node long")
+    known = spark.createDataFrame([(a, b) for a in words for b in words if a // 100 == b // 100 and a % 100 and (b % 100 == 0 or b % 100 == 29)], "node long, hub long")
+    stage, none = Stage(spark, "t"), sizes.limit(0).selectExpr("node", "node root")
+    known = known.union(known.selectExpr("hub", "node")).distinct()
+    hubs = {r.hub for r in known.collect()}
+    fresh, stalled = _starred(members, known, texts, 1, 90, stage, 100)
+    tested = {(r.node, r.hub) for r in fresh.collect()}
+    for sig in {r.sig for r in stalled.collect()}:
+        assert not any(a // 100 == sig % 1000 and b // 100 == sig % 1000 and a % 100 and b in hubs for a, b in tested)
+    cells, marks = _cells(members, none, sizes, None, 8, 10**6, stage)
+    held = {}
+    for r in cells.collect():
+        held.setdefault(r.hub, set()).add(r.node)
+    met = {frozenset((a, b)) for c in held.values() for a in c for b in c if a != b}
+    assert met == {frozenset((a, b)) for a in words for b in words if a != b and a // 100 == b // 100}
+    assert max(map(len, held.values())) <= 16
+    found = connected_components(_settled(cells, texts, 1, 90, 100), stage).collect()
+    want = brute([(k, " ".join(w)) for k, w in words.items()], 1, 90)
+    root = {r.node: r.root for r in found}
+    assert sorted(repr((k, len(set(w)), root.get(k, k))) for k, w in words.items()) == want
+    assert _cells(members, none, sizes, marks, 8, 10**6, stage)[0].isEmpty()
+
+
 def test_odd_rows(docs, clashing, odd):
     rows = odd + [(20 + i, "one and the same text here again") for i in range(30)] + [(60, "One AND the same text  here\tagain"), (61, "short"), (62, "Short"), (63, "É a b c d"), (64, "é a b c d"), (None, "one and the same text here again")]
     assert got(jaccard_components(clashing(rows))) == brute(rows)
