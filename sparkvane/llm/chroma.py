@@ -115,8 +115,8 @@ def align(prints: DataFrame, every: int = 20, crowd: int = 1000, most_errors: fl
     """A row for each recording: its class, and for queries (rec_id divisible by `every`) how it aligns with others.
 
     Recordings with equal fingerprints are one class, named by the smallest rec_id. A query's
-    class is aligned with each other class that shares a word of two integers; words that
-    more than `crowd` classes have are replaced by words of eight. The offset with most
+    class is aligned with each other class that shares a word of two integers; a word at more than
+    `crowd` places is dealt over so many more keys, which changes no result. The offset with most
     equal words counts (ties: the smallest), and a link needs `least` integers of overlap and a share
     of different bits of at most `most_errors`. n_links counts linked classes, best_id, best_offset and
     best_errors tell the one with least errors (ties: the smaller class); they are null without one, n_links for
@@ -127,13 +127,11 @@ def align(prints: DataFrame, every: int = 20, crowd: int = 1000, most_errors: fl
     own = stage.put(pick(prints, "rec_id", "code").where("rec_id is not null").dropDuplicates())
     classes = stage.put(own.groupBy("code").agg(F.min("rec_id").alias("class_id"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked")).where(F.length("code") > 0))
     short = stage.put(_words(classes, 2))
-    common = stage.put(short.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("word"))
-    found = short.join(common, "word", "left_anti")
-    if not common.isEmpty():
-        found = found.unionByName(_words(classes, 8))
-    found = stage.put(found)
-    asked = found.join(classes.where("asked = 1").select("class_id"), "class_id", "left_semi").selectExpr("class_id query", "at q_at", "word")
-    votes = asked.join(found, "word").where("query <> class_id").groupBy("query", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("n"))
+    common = stage.put(short.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("word", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
+    dealt = short.join(F.broadcast(common), "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    found = stage.put(dealt.withColumn("part", F.pmod(F.xxhash64("class_id", "at"), F.col("parts")).cast("int")))
+    asked = found.join(classes.where("asked = 1").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("at").alias("q_at"), "word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    votes = asked.join(found, ["word", "part"]).where("query <> class_id").groupBy("query", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("query", "class_id").orderBy(F.desc("n"), "offset")
     best = votes.withColumn("r", F.row_number().over(order)).where("r = 1").select("query", "class_id", "offset")
     pairs = best.join(classes.select("class_id", F.col("code").alias("b")), "class_id").join(classes.selectExpr("class_id query", "code a"), "query")

@@ -79,6 +79,21 @@ def test_align_against_brute_force(spark):
     assert align(prints.limit(0)).count() == 0
 
 
+def test_crowded_words_count_too(spark):
+    """Recordings that share runs of few integers alone: the setting for frequent words changes nothing."""
+    r = np.random.default_rng(8)
+    shared = [r.integers(0, 2**32, 3, dtype=np.uint32) for _ in range(4)]
+    base, rows = r.integers(0, 2**32, 40, dtype=np.uint32), []
+    for i in range(0, 60):
+        code = base ^ (np.uint32(1) << r.integers(0, 32, 40, dtype=np.uint32))
+        for k, s in enumerate(shared):
+            code[k * 10 + 2 : k * 10 + 5] = s
+        rows.append((i, np.roll(code, 0)[i % 3 :].astype("<u4").tobytes()))
+    prints = spark.createDataFrame([(i, bytearray(c)) for i, c in rows], "rec_id long, code binary")
+    got = [sorted(map(tuple, align(prints, crowd=c).collect())) for c in (1, 7, 1000)]
+    assert got[0] == got[1] == got[2] and got[0][0][4] == 59
+
+
 def test_rendered_vectors(spark):
     rows = [(0, [0.1, 0.2] * 32), (1, [0.1, 0.2] * 32), (2, None), (3, [None, float("nan"), 0.5]), (20, [0.3, 0.9, 0.05, 0.61] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
