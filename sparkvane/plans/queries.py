@@ -486,14 +486,14 @@ ORACLE_SQL["engine_cycle"] = "SELECT vec_id + 1 AS id, CAST(CASE WHEN (vec_id +
 
 @query("stream_upsert")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of events as a stream of files, applied in micro-batches; the acknowledgements."""
+    """All embeddings as a stream of files, a request for each 1000 ids, applied in micro-batches; the acknowledgements."""
     from ..plans.engine import Engine
     from ..streaming.ingest import REQUEST, ingest
 
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkvane-stream-")
     root = f"{root}/stream-{uuid.uuid4().hex}"
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 40")
-    rows = e.select(F.lit("vectors").alias("collection"), F.concat(F.lit("k"), (F.col("vec_id") % 4).cast("string")).alias("idempotency_key"), (F.col("vec_id") % 4).alias("sequence"), F.col("vec_id").cast("int").alias("ord"), (F.col("vec_id") % 4 * F.col("vec_id") + 1).alias("id"), F.lit(1).cast("long").alias("generation"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("payload"))
+    e, request = table(spark, sf_dir, "embeddings"), F.floor(F.col("vec_id") / 1000)
+    rows = e.select(F.lit("vectors").alias("collection"), F.concat(F.lit("k"), request.cast("string")).alias("idempotency_key"), request.alias("sequence"), F.col("vec_id").cast("int").alias("ord"), (F.col("vec_id") + 1).alias("id"), F.lit(1).cast("long").alias("generation"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("payload"))
     rows.write.parquet(f"{root}/requests")
     engine = Engine(spark, f"{root}/engine")
     engine.create("vectors", 64)

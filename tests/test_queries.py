@@ -33,5 +33,10 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted((tuple(r[c] for c in columns) for r in rows), key=key) == sorted((tuple(r[i] for i in place) for r in want.fetchall()), key=key)
 
 
+def test_stream_takes_the_whole_table(spark, duck):
+    acks = entry.queries()["stream_upsert"](spark, SF).collect()
+    assert sorted((r.idempotency_key, r.applied, r.n_errors) for r in acks) == sorted(duck.sql("SELECT 'k' || vec_id // 1000, count(*), 0 FROM embeddings GROUP BY 1").fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
