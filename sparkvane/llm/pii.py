@@ -86,8 +86,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Looser patterns that propose spans, in order of precedence, with the kind that they propose.
 _PROPOSALS = (
     (5, re.compile(r"\bAKIA[0-9A-Z]{12,20}\b")),
-    (5, re.compile(r"\b(?:password|passwd|pwd|secret|token|api_?key)[ ]?[=:][ ]?(\S{6,128})", re.I)),
-    (5, re.compile(r"\"([0-9a-f]{12,64})\"")),
+    (5, re.compile(r"\b(?:password|passwd|pwd|secret|token|api_?key)[ ]?[=:][ ]?(\S{6,})", re.I)),
+    (5, re.compile(r"\"([0-9a-f]{12,})\"")),
     (0, re.compile(r"\b[A-Za-z0-9._%+-]{1,64}[ ]?(?:\(at\)|\[at\])[ ]?[A-Za-z0-9-]{1,64}(?:[ ]?(?:\(dot\)|\[dot\]|\.)[ ]?[A-Za-z0-9-]{1,64}){1,4}")),
     (4, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     (3, re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")),
@@ -130,6 +130,7 @@ def votes(text: str, start: int, end: int, kind: int, value: str) -> tuple[int,
 def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, signature) of proposed spans that overlap neither base spans nor each other.
 
+    A field's value with such spans inside, as an address in a connection string, is proposed in the parts around these.
     A signature holds kind, votes and a length class: all that the model sees of a span.
     """
     if not _HINT.search(text):
@@ -140,14 +141,23 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         for m in pattern.finditer(text):
             s, e = m.span()
             i = bisect.bisect(taken, (s, math.inf))
+            free = [(s, e)]
             if i and taken[i - 1][1] > s or i < len(taken) and taken[i][0] < e:
-                continue
-            bisect.insort(taken, (s, e))
+                if kind != 5:
+                    continue
+                free, at = [], s
+                for a, b in [t for t in taken[max(0, i - 1) :][: bisect.bisect(taken, (e,)) - max(0, i - 1)] if t[1] > s]:
+                    if at < a:
+                        free.append((at, a))
+                    at = max(at, b)
+                free = [(a, b) for a, b in [*free, (at, e)] if max(a, m.start(m.lastindex or 0)) < b]
             cast = votes(text, s, e, kind, m.group(1) if m.lastindex else m.group())
             code = kind * 4 + min(3, (e - s) // 10)
             for v in cast:
                 code = code * 3 + v + 1
-            found.append((s, kind, e, code))
+            for part in free:
+                bisect.insort(taken, part)
+                found.append((part[0], kind, part[1], code))
     return sorted(found)
 
 

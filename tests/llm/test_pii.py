@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -83,3 +84,14 @@ def test_query_against_brute_force(spark):
         n += len(base)
         assert got[i].base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
     assert n > 50
+
+
+def test_long_secrets_are_masked_whole(docs):
+    r = random.Random(7)
+    word = lambda n, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789": "".join(r.choice(of) for _ in range(n))
+    jwt, hexa, end = word(700), word(128, "0123456789abcdef"), word(300)
+    texts = [f"the token={jwt} is set", f'the key "{hexa}" is set', f"the secret=amqp://{word(150)}:x@mail.example.com/{end} is set"]
+    plain = [(i, t) for i, t in enumerate([f"the password={word(20)} is set" for _ in range(40)] + [f'my secret key "{word(32, "0123456789abcdef")}" is set' for _ in range(40)])]
+    table = docs(plain + [(100 + i, t) for i, t in enumerate(texts)])
+    got = {x.doc_id: x.text for x in redact(table, fit(table)).collect()}
+    assert got[100] == "the [SECRET] is set" and hexa[64:] not in got[101] and end not in got[102] and "amqp" not in got[102]
