@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -74,6 +75,18 @@ def test_words_are_what_the_library_gives():
         assert ids == theirs or cost(ids) == cost(theirs)  # their sums are of 32 bits
 
 
+def test_unpatched_library_gives_the_ids_that_the_readme_counts():
+    """The file is of the merging kind: the library's ids are other and fewer, of the same texts."""
+    import pyarrow.parquet as pq
+
+    library, coder = sentencepiece.SentencePieceProcessor(model_file=PATH), Coder(Model.load(PATH))
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t]
+    ours, theirs = [coder.encode([t])[0].tolist() for t in texts], [library.encode(t) for t in texts]
+    counts = sum(a != b for a, b in zip(ours, theirs, strict=True)), len(texts), sum(map(len, ours)), sum(map(len, theirs))
+    readme = (Path(__file__).parents[2] / "README.md").read_text()
+    assert "all {} of {} documents, {:,} ids against the library's {:,}".format(*counts) in readme
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=8))
 def test_batches_and_round_trip(texts):
