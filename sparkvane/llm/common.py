@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +16,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Arrow batches hold about so many bytes at most. Texts differ in size by orders of magnitude, so
-#: a bound on rows alone (10,000 by default) says little about a task's memory.
+#: In staged writes, Arrow batches hold about so many bytes at most. Texts differ in size by orders
+#: of magnitude, so a bound on rows alone (10,000 by default) says little about a task's memory.
 BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on an Arrow batch's bytes, where it is higher."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(-?[0-9]+)([kmgtpb]*)", spark.conf.get(key, "64m").lower()).groups()
+@contextmanager
+def staged_settings(spark: SparkSession) -> Iterator[None]:
+    """Bounded Arrow batches, and shuffle files that go when a job is done; the caller's settings come back after."""
+    old = {key: spark.conf.get(key, None) for key in (_BATCH, _CLEANUP)}
+    number, unit = re.fullmatch(r"(-?[0-9]+)([kmgtpb]*)", (old[_BATCH] or "64m").lower()).groups()
     held = int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit[:1], 0)
-    if not 0 < held <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        if not 0 < held <= BATCH_BYTES:
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
+        spark.conf.set(_CLEANUP, "true")
+        yield
+    finally:
+        for key, value in old.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, by exact name; other columns may clash in any way."""
-    bound_batches(df.sparkSession)
     at = [df.columns.index(name) for name in names]
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"c{i}").alias(name) for i, name in zip(at, names, strict=True)])
@@ -44,11 +55,13 @@ def text_key() -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own where it is unset and Spark is local, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkvane-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -65,7 +78,8 @@ class Stage:
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.top}/{self.n}"
-        df.write.parquet(path)
+        with staged_settings(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.held.append((out, path))
         return out
@@ -81,14 +95,3 @@ class Stage:
     def only(self, *tables: DataFrame) -> None:
         """Deletes all staged tables but these, which the result reads."""
         self.drop(*[t for t, _ in self.held if not any(t is k for k in tables)])
-        self.free()
-
-    def free(self) -> None:
-        """Lets the driver drop shuffle files of finished jobs now, not at some later collection.
-
-        A finished frame is often part of a cycle in Python, and its shuffle is known to be unused
-        only when both sides have collected it; the cleaner then works in the background.
-        """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import Stage, pick
+from .common import Stage, pick, text_key
 from .components import connected_components
 
 _U = np.uint64
@@ -81,32 +81,57 @@ def scheme(percent: int) -> Scheme:
     return Scheme(percent)
 
 
-def shingles(texts: pa.Array, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes (text, hash) in order, and how many each text has."""
-    words = kernel.words_of(texts, kernel.NOT_SPACE, lower=True)
-    code, whole = kernel.runs(words, n)
-    doc = words.doc()
-    doc_of, code = doc[: len(code)][whole], kernel.mix(code[whole] + _U(seed * 2 + 1))
-    few = np.flatnonzero((words.count > 0) & (words.count < n))
-    if len(few):  # shorter texts: the whole sequence as one
-        short = np.array([_fold(words.hash[words.first[d] : words.first[d + 1]], seed) for d in few.tolist()], np.uint64)
-        doc_of, code = np.concatenate([doc_of, few]), np.concatenate([code, short])
-    doc_of, code = kernel.unique_sorted(doc_of, code)
-    return doc_of, code, np.bincount(doc_of, minlength=len(texts))
+def shingles(texts: pa.Array, n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes (text, hash, hash of the next family) in order, and how many each text has."""
+    words = kernel.words_of(texts, kernel.NOT_SPACE, lower=True, family=family)
+    doc, few = words.doc(), np.flatnonzero((words.count > 0) & (words.count < n))
+    codes = []
+    for code in (words.hash, kernel.hash_spans(words.data, words.start, words.end, family + 1)):
+        run, whole = kernel.runs(kernel.Words(words.data, words.start, words.end, code, words.first), n)
+        short = np.array([_fold(code[words.first[d] : words.first[d + 1]]) for d in few.tolist()], np.uint64)  # shorter texts: the whole sequence as one
+        codes.append(np.concatenate([run[whole], short]))
+    doc_of = np.concatenate([doc[: len(run)][whole], few])
+    at = kernel.unique_sorted(doc_of, codes[0])
+    return doc_of[at], codes[0][at], codes[1][at], np.bincount(doc_of[at], minlength=len(texts))
 
 
-def _fold(codes: np.ndarray, seed: int) -> int:
-    h = _U(len(codes) * 0x9E37 + seed * 2 + 1)
+def _fold(codes: np.ndarray) -> int:
+    h = _U(len(codes))
     with np.errstate(over="ignore"):
         for c in codes:
             h = kernel.mix(np.array([h * _U(0xD1342543DE82EF95) + c], np.uint64))[0]
     return int(h)
 
 
-def set_hashes(doc: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each set, 0 for an empty one."""
+def exact_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `shingles`, but numbered by their words' bytes within these texts: (text, number, hash) in order of numbers, and how many each text has."""
+    words = kernel.words_of(texts, kernel.NOT_SPACE, lower=True)
+    word = kernel.word_bytes(words).dictionary_encode().indices.to_numpy().astype(np.int64) if len(words.start) else np.zeros(0, np.int64)
+
+    def numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+    have, number = 1, word
+    for bit in bin(n)[3:]:  # twice as long, and one more word, as the binary digits of n say
+        number, have = numbered(number[: max(0, len(number) - have)], number[have:]), 2 * have
+        if bit == "1":
+            number, have = numbered(number[: max(0, len(number) - 1)], word[have:][: max(0, len(number) - 1)]), have + 1
+    code, whole = kernel.runs(words, n)
+    few = np.flatnonzero((words.count > 0) & (words.count < n))
+    found: dict[tuple[int, ...], int] = {}
+    base = int(number.max(initial=0)) + 1
+    short = np.array([base + found.setdefault(tuple(word[words.first[d] : words.first[d + 1]].tolist()), len(found)) for d in few.tolist()], np.int64)
+    folded = np.array([_fold(words.hash[words.first[d] : words.first[d + 1]]) for d in few.tolist()], np.uint64)
+    doc = np.concatenate([words.doc()[: len(code)][whole], few])
+    number, code = np.concatenate([number[: len(code)][whole], short]), np.concatenate([code[whole], folded])
+    at = kernel.unique_sorted(doc, number)
+    return doc[at], number[at], code[at], np.bincount(doc[at], minlength=len(texts))
+
+
+def set_hashes(doc: np.ndarray, codes: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, by either family; 0 for an empty one."""
     out = []
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+    for code, salt in zip(codes, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
         total = np.zeros(n, np.uint64)
         if len(doc):
             first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
@@ -174,41 +199,43 @@ def signatures(doc: np.ndarray, code: np.ndarray, size: np.ndarray, percent: int
 
 
 def compare(a: pa.Array, b: pa.Array, n: int, percent: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For each pair of texts: whether 100 * intersection >= percent * union, counted exactly;
-    and the first H + 1 shingles that a has and b hasn't, or else b has and a hasn't."""
-    (da, ca, na), (db, cb, nb) = shingles(a, n), shingles(b, n)
-    doc, code, ours = np.concatenate([da, db]), np.concatenate([ca, cb]), np.arange(len(da) + len(db)) >= len(da)
-    order = np.lexsort((code, doc))
-    doc, code, ours = doc[order], code[order], ours[order]
-    same = (doc[1:] == doc[:-1]) & (code[1:] == code[:-1])
-    common = np.bincount(doc[1:][same], minlength=len(a))
+    """For each pair of texts: whether 100 * intersection >= percent * union, counted on the words themselves;
+    and the hashes of the first H + 1 shingles that a has and b hasn't, or else b has and a hasn't."""
+    k = len(a)
+    doc, number, code, size = exact_shingles(pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())]), n)
+    na, nb, ours, doc = size[:k], size[k:], doc >= k, doc % max(k, 1)
+    order = np.lexsort((number, doc))
+    doc, number, code, ours = doc[order], number[order], code[order], ours[order]
+    same = (doc[1:] == doc[:-1]) & (number[1:] == number[:-1])
+    common = np.bincount(doc[1:][same], minlength=k)
     alone = np.ones(len(doc), bool)
     alone[1:] &= ~same
     alone[:-1] &= ~same
     doc, code, ours = doc[alone], code[alone], ours[alone]
     order = np.lexsort((code, ours, doc))
     doc, code = doc[order], code[order]
-    begin = np.searchsorted(doc, np.arange(len(a) + 1))
+    begin = np.searchsorted(doc, np.arange(k + 1))
     s = scheme(percent)
     most = s.differ(na, s.largest(na)) + 1
     ends = np.minimum(begin[1:], begin[:-1] + most)
     return (100 * common >= percent * (na + nb - common)) & (common > 0), [code[x:y] for x, y in zip(begin[:-1].tolist(), ends.tolist(), strict=True)]
 
 
-INDEX = "sig long, node long, doc_id long, n int, check long"
+INDEX = "sig long, node long, doc_id long, text_key long, n int, check long"
 
 
-def index(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+def index(docs: DataFrame, n: int, percent: int, family: int) -> DataFrame:
     """A row for each document (sig null), and one for each signature of each different set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        names = ["sig", "node", "doc_id", "text_key", "n", "check"]
         none = lambda k: pa.nulls(k, pa.int64())
         for batch in batches:
             for part in kernel.slices(batch, "text"):
-                doc, code, size = shingles(part["text"], n, seed)
-                node, check = set_hashes(doc, code, len(size))
-                yield pa.RecordBatch.from_arrays([none(len(size)), pa.array(node.view(np.int64)), part["doc_id"], pa.array(size.astype(np.int32)), pa.array(check.view(np.int64))], names=["sig", "node", "doc_id", "n", "check"])
+                doc, code, other, size = shingles(part["text"], n, family)
+                node, check = set_hashes(doc, (code, other), len(size))
+                yield pa.RecordBatch.from_arrays([none(len(size)), pa.array(node.view(np.int64)), part["doc_id"], part["text_key"], pa.array(size.astype(np.int32)), pa.array(check.view(np.int64))], names=names)
                 fresh = np.zeros(len(size), bool)
                 for i, (x, ok) in enumerate(zip(node.tolist(), part["doc_id"].is_valid().to_pylist(), strict=True)):
                     if ok and size[i] and x not in seen:
@@ -219,9 +246,9 @@ def index(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
                     d, key = signatures(doc[keep], code[keep], np.where(fresh, size, 0), percent, lower)
                     for at in range(0, len(d), 100_000):
                         k = len(d[at : at + 100_000])
-                        yield pa.RecordBatch.from_arrays([pa.array(key[at : at + k].view(np.int64)), pa.array(node[d[at : at + k]].view(np.int64)), none(k), pa.nulls(k, pa.int32()), none(k)], names=["sig", "node", "doc_id", "n", "check"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[at : at + k].view(np.int64)), pa.array(node[d[at : at + k]].view(np.int64)), none(k), none(k), pa.nulls(k, pa.int32()), none(k)], names=names)
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, INDEX)
+    return pick(docs, "doc_id", "text").withColumn("text_key", text_key()).mapInArrow(run, INDEX)
 
 
 def _sent(ids: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -229,15 +256,15 @@ def _sent(ids: DataFrame, broadcast_rows: int) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= broadcast_rows else ids
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, n: int, seed: int, broadcast_rows: int) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, n: int, family: int, broadcast_rows: int) -> DataFrame:
     """node, text of the asked nodes (node, doc_id): the text of that doc_id that gives the node's set."""
     found = pick(docs, "doc_id", "text").join(_sent(nodes, broadcast_rows), "doc_id").select("node", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.slices(batch, "text"):
-                doc, code, size = shingles(part["text"], n, seed)
-                node, _ = set_hashes(doc, code, len(size))
+                doc, code, other, size = shingles(part["text"], n, family)
+                node, _ = set_hashes(doc, (code, other), len(size))
                 yield part.filter(pa.array(node.view(np.int64) == part["node"].to_numpy(zero_copy_only=False)))
 
     return found.mapInArrow(check, "node long, text string").dropDuplicates(["node"])
@@ -277,7 +304,7 @@ def within(table: pa.Table, n: int, percent: int) -> tuple[np.ndarray, np.ndarra
     """
     text = pa.chunked_array(table["text"]).combine_chunks()
     node, (_, at) = table["node"].to_numpy(), np.unique(table["root"].to_numpy(), return_inverse=True)
-    doc, code, size = shingles(text, n)
+    doc, code, _, size = exact_shingles(text, n)
     order = np.argsort(code, kind="stable")
     code, owner = code[order], doc[order]
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
@@ -342,31 +369,23 @@ def _refined(clusters: DataFrame, stars: DataFrame, stage: Stage) -> DataFrame:
     return stage.put(parts.join(mixed, "sig").select("sig", "node").distinct())
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 300_000, most: int = 4096, most_shingles: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; two rows link at Jaccard >= percent / 100.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased; the set is of distinct
-    runs of n words, the whole sequence where there are fewer. A null or empty text has an
-    empty set and links with nothing; its component is itself. Repeated rows, and rows that
-    share a doc_id, are documents of their own; a row with a null doc_id takes no part in
-    links and its component is null. An empty table gives no rows.
-    """
+def _components(docs: DataFrame, n: int, percent: int, broadcast_rows: int, most: int, most_shingles: int) -> DataFrame:
+    """doc_id, text_key, n, root, component of each row, staged; root is the component's node, null for an empty set or a null doc_id."""
     stage = Stage(docs.sparkSession, "jaccard")
-    for seed in range(4):
-        table = stage.put(index(docs, n, percent, seed))
+    for family in (0, 2, 4):
+        table = stage.put(index(docs, n, percent, family))
         rows = table.where("sig is null and n > 0 and doc_id is not null")
         nodes = stage.put(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")))
-        if nodes.where("c0 <> c1").isEmpty():  # else two sets share a hash: other hashes then
+        if nodes.where("c0 <> c1").isEmpty():
             break
-        stage.drop(table)
+        stage.drop(table, nodes)  # two sets share a hash: other hashes then
+    else:
+        raise RuntimeError("different sets share a hash in every family of hashes")
     sizes, nodes = nodes.select("node", "n"), nodes.select("node", "doc_id")
-    stage.free()
     signed = table.where("sig is not null").select("sig", "node")
     groups = stage.put(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"))
-    stage.free()
     members = stage.put(signed.join(groups.hint("shuffle_hash"), "sig").distinct())
-    stage.free()
-    texts = stage.put(_texts(docs, members.select("node").distinct().join(nodes, "node"), n, seed, broadcast_rows))
+    texts = stage.put(_texts(docs, members.select("node").distinct().join(nodes, "node"), n, family, broadcast_rows))
     stars, done, roots = None, None, nodes.limit(0).selectExpr("node", "node root")
     # a link between two components is inside a group of each round: the hub's cluster takes over what is open in a group
     # with a new pair, and others are settled. Every pair of a node and a hub is tested once, so this ends
@@ -391,22 +410,41 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
             found = stage.put(_settled(small, texts, n, percent, broadcast_rows))
             roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))
         members = _refined(large, stars, stage)
-    named = roots.join(nodes, "node")
-    best = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    labels = stage.put(nodes.join(roots.join(best, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "doc_id").alias("component")))
-    stage.only(table, labels)
-    return (
-        table.where("sig is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
-        .join(labels, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
-    )
-
-
-def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The documents that aren't near copies of another with a smaller doc_id in their group.
-
-    A group's document of smallest doc_id stays, whole rows as they are; so do rows with an
-    empty text or a null doc_id, and each row of a repeated doc_id.
+    best = roots.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component"))
+    labels = nodes.join(roots.join(best, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component", "doc_id").alias("component"))
+    taking = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    told = table.where("sig is null").join(labels, "node", "left").select("doc_id", "text_key", "n", F.when(taking, F.col("root")).alias("root"), F.when(taking, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+    result = stage.put(told)
+    stage.only(result)
+    return result
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 300_000, most: int = 512, most_shingles: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row; two rows link at Jaccard >= percent / 100.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; the set is of distinct
+    runs of n words, the whole sequence where there are fewer. A null or empty text has an
+    empty set and links with nothing; its component is itself. Repeated rows, and rows that
+    share a doc_id, are documents of their own; a row with a null doc_id takes no part in
+    links and its component is null. An empty table gives no rows. Equal sets are told by two
+    64-bit hashes of their words' bytes, links are counted on the words themselves.
+    """
+    return _components(docs, n, percent, broadcast_rows, most, most_shingles).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int, percent: int, broadcast_rows: int = 300_000, most: int = 512, most_shingles: int = 500_000) -> DataFrame:
+    """One document of each group of near copies: the row of smallest doc_id, as it is.
+
+    Where rows share that doc_id, the one of smallest text hash stays, and of repeated rows one. Rows
+    with an empty or null text or a null doc_id take no part and stay. An empty table gives no rows.
     """
-    first = jaccard_components(docs, n, percent).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_anti").select(*docs.columns)
+    told = _components(docs, n, percent, broadcast_rows, most, most_shingles).where("root is not null")
+    kept = told.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    gone = told.join(kept, "root").where(F.struct("doc_id", "text_key") > F.col("first")).select("doc_id", "text_key").distinct()
+    marked = docs.withColumn("text_key", text_key())
+    left = marked.join(gone, ["doc_id", "text_key"], "left_anti")
+    repeated = told.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(repeated, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(repeated, ["doc_id", "text_key"], "left_anti").select(*docs.columns).union(once)

@@ -15,10 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD1342543DE82EF95
-_rng = np.random.Generator(np.random.PCG64(20240517))
-_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 #: Words are runs of anything but the six ASCII white-space characters.
 NOT_SPACE = np.ones(256, bool)
@@ -41,21 +37,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, grown on demand."""
+#: Families of word hashes: two words that meet in one family are told apart by another.
+_SALTS = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 1 << 16)
-            self.up, self.down = (np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _U(b), np.uint64)])) for b in (self.base, self.inverse))
-        return self.up, self.down
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """Hash of each span's bytes: every lane of eight bytes is mixed with its place before lanes are summed.
 
-
-_bytes_power, _words_power = _Powers(_BASE), _Powers(_WORD_BASE)
+    Mixing isn't linear in the bytes, so no pattern of letters cancels as it does in polynomials modulo 2^64.
+    """
+    size = end - start
+    salt = _SALTS[family]
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    code = mix(lanes[start] & _LOW_BYTES[np.minimum(size, 8)] ^ salt)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] + 7) // 8 - 1
+        upto = np.cumsum(more)
+        nth = np.arange(1, upto[-1] + 1) - np.repeat(upto - more, more)
+        at = np.repeat(start[long], more) + 8 * nth
+        left = np.minimum(np.repeat(end[long], more) - at, 8)
+        value = mix(mix(lanes[at] & _LOW_BYTES[left] ^ salt) + mix(nth.astype(np.uint64) * salt))
+        code[long] += np.add.reduceat(value, upto - more)
+    return mix(code + size.astype(np.uint64) * salt)
 
 
 @dataclass
@@ -87,8 +95,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words_of(texts: pa.Array, letters: np.ndarray, lower: bool = False, hashed: bool = True, tail: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
-    """Words of each text. With `tail`, a last byte of its first class after one of its second is a word of its own."""
+def words_of(texts: pa.Array, letters: np.ndarray, lower: bool = False, family: int | None = 0, tail: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words of each text. `family` is that of the hashes (None: no hashes). With `tail`, a last byte of its first class after one of its second is a word of its own."""
     data, offsets = text_bytes(texts)
     if lower:
         data = LOWER[data]
@@ -108,27 +116,55 @@ def words_of(texts: pa.Array, letters: np.ndarray, lower: bool = False, hashed:
         begins[at] = ends[at - 1] = True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
-    codes = np.zeros(0, np.uint64)
-    if hashed:
-        up, down = _bytes_power.upto(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-        codes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    codes = np.zeros(0, np.uint64) if family is None else hash_spans(data, start, end, family)
     return Words(data, start, end, codes, first)
 
 
+def span_places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all members of the spans, one span after another."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - (upto - size), size)
+
+
+def chain(code: np.ndarray, length: int) -> np.ndarray:
+    """Hash of `length` successive codes from each place on, by doubling; each step mixes, so none is linear in the codes."""
+    have, out = 1, code
+    for bit in bin(length)[3:]:
+        out = mix(out[: len(out) - have] * _SALTS[1] + out[have:] + _U(have))
+        have *= 2
+        if bit == "1":
+            out = mix(out[: len(out) - 1] * _SALTS[3] + code[have : have + len(out) - 1] + _U(have))
+            have += 1
+    return out
+
+
 def runs(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the `length` words from each word on, and whether they lie in one text."""
     n = len(words.hash)
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    up, down = _words_power.upto(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hash * up[:n], out=sums[1:])
     at = np.arange(n - length + 1)
-    code = mix((sums[length:] - sums[: n - length + 1]) * down[at])
     last = np.repeat(words.first[1:], words.count)  # the end of each word's text
-    return code, at + length <= last[: n - length + 1]
+    return chain(words.hash, length), at + length <= last[: n - length + 1]
+
+
+def equal_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of `data` are those of the span of `other`."""
+    size = end - start
+    same = size == to - from_
+    a, b = (np.ndarray((len(x) + 1,), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), 0, (1,)) for x in (data, other))
+    low = _LOW_BYTES[np.minimum(size, 8)]
+    same[same] = (a[start[same]] & low[same]) == (b[from_[same]] & low[same])
+    for i in np.flatnonzero(same & (size > 8)).tolist():
+        same[i] = np.array_equal(data[start[i] : end[i]], other[from_[i] : to[i]])
+    return same
+
+
+def word_bytes(words: Words) -> pa.Array:
+    """Each word's bytes."""
+    size = words.end - words.start
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words.data[span_places(words.start, size)]))])
 
 
 def _trimmer() -> Callable[[int], int] | None:
@@ -161,10 +197,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterat
     tidy()
 
 
-def unique_sorted(group: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (group, code) pairs in order."""
+def unique_sorted(group: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Where distinct (group, code) pairs stand, in their order."""
     order = np.lexsort((code, group))
     group, code = group[order], code[order]
     keep = np.ones(len(code), bool)
     keep[1:] = (group[1:] != group[:-1]) | (code[1:] != code[:-1])
-    return group[keep], code[keep]
+    return order[keep]

@@ -8,6 +8,7 @@ memory doesn't grow with the table and a lost task is simply run again.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -116,9 +117,11 @@ class CachedTokenizer:
     """Ids of texts by a lower-casing tokenizer that drops white space and never joins ids across it.
 
     Texts are split at ASCII white space, and before a comma or full stop that ends a word
-    (such a tokenizer parts these too); each distinct word is encoded once. Words are known by
-    64-bit hash. New ones are encoded together, with a special token between them. The cache
-    is emptied when it would hold more than `most` words.
+    (such a tokenizer parts these too); each distinct word is encoded once. Words are found by
+    64-bit hash and compared byte by byte; should two meet in a hash, all of a batch's words are encoded
+    without the cache. New ones are encoded together, with a special token between them. The cache
+    is emptied when it would hold more than `most` words. A file whose tokenizer can't be split
+    so (another normaliser or split) is told at the start; its texts are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
@@ -128,12 +131,23 @@ class CachedTokenizer:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.mark = "<|startoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.splits = self.mark_id is not None and self._parts(json.loads(self.tokenizer.to_str()))
         self.clear()
 
+    def _parts(self, plan: dict) -> bool:
+        """Whether words' ids don't depend on their neighbours: by the file's rules, and on a sentence."""
+        names = json.dumps([plan.get("normalizer"), plan.get("pre_tokenizer")])
+        probe = "One, two.  three don't\n4,5. ÉTÉ-x e.g. (a), b!? mid,dle \t12.5."
+        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        cut = kernel.words_of(pa.array([probe]), kernel.NOT_SPACE, lower=True, family=None, tail=(_STOP, _PLAIN))
+        words = [self.tokenizer.encode(cut.data[a:b].tobytes().decode(), add_special_tokens=False).ids for a, b in zip(cut.start.tolist(), cut.end.tolist(), strict=True)]
+        return "Lowercase" in names and [i for w in words for i in w] == whole
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.first = self.size = np.zeros(0, np.int64)
+        self.first = self.size = self.begin = self.end = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.spelling = np.zeros(0, np.uint8)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
@@ -152,25 +166,41 @@ class CachedTokenizer:
                     size.append(np.array([len(got.ids)]))
         return np.concatenate([*flat, np.zeros(0, np.uint32)]), np.concatenate([*size, np.zeros(0, np.int64)]).astype(np.int64)
 
+    def plain(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """As `ids`, each text encoded whole."""
+        each = [np.array([*got.ids, end], np.uint32) for got in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(e) for e in each], np.int64)
+
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and how many each text has."""
+        if not self.splits:
+            return self.plain(texts, end)
         data, _ = kernel.text_bytes(texts)
         special = b"<|" in data.tobytes()  # special tokens are told by their case
         words = kernel.words_of(texts, kernel.NOT_SPACE, lower=not special, tail=None if special else (_STOP, _PLAIN))
         code, distinct = pd.factorize(words.hash)
+        some = np.zeros(len(distinct), np.int64)
+        some[code[::-1]] = np.arange(len(code))[::-1]  # a place of each word
+        if not kernel.equal_spans(words.data, words.start, words.end, words.data, words.start[some][code], words.end[some][code]).all():
+            return self.plain(texts, end)
         if len(self.keys) + len(distinct) > self.most:
             self.clear()
         place = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), bool)
         inside = place < len(self.keys)
         new[inside] = self.keys[place[inside]] != distinct[inside]
+        known, at = place[~new], some[~new]
+        if not kernel.equal_spans(words.data, words.start[at], words.end[at], self.spelling, self.begin[known], self.end[known]).all():
+            return self.plain(texts, end)
         if new.any():
-            some = np.zeros(len(distinct), np.int64)
-            some[code[::-1]] = np.arange(len(code))[::-1]  # a place of each word
             at, raw = some[new], words.data.tobytes()
             flat, size = self.encode([raw[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys)
+            letters = words.end[at] - words.start[at]
+            begin = np.concatenate([self.begin, len(self.spelling) + np.cumsum(letters) - letters])
+            self.begin, self.end = begin[order], (begin + np.concatenate([self.end - self.begin, letters]))[order]
+            self.spelling = np.concatenate([self.spelling, words.data[kernel.span_places(words.start[at], letters)]])
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])[order]
             self.size = np.concatenate([self.size, size])[order]
             self.keys, self.flat = keys[order], np.concatenate([self.flat, flat])
@@ -181,7 +211,7 @@ class CachedTokenizer:
         n = n[order]
         upto = np.cumsum(n)
         flat = np.append(self.flat, np.uint32(end))
-        ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first[order] - (upto - n), n)]
+        ids = flat[kernel.span_places(first[order], n)]
         doc_end = upto[words.first[1:] + np.arange(len(texts))]
         return ids, np.diff(doc_end, prepend=0)
 

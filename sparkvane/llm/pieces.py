@@ -192,8 +192,14 @@ class Coder:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.first = self.size = np.zeros(0, np.int64)
+        self.first = self.size = self.begin = self.end = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.spelling = np.zeros(0, np.uint8)
+
+    def plain(self, joined: str, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, without the cache."""
+        each = [[i for part in stream(self.model, joined[a:b]) for i in part] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -207,37 +213,45 @@ class Coder:
         begins[(np.cumsum(length) - length)[length > 0]] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(points))[: len(start)]
-        up, down = kernel._words_power.upto(len(points) + 1)
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(kernel.mix(points + _U(1)) * up[: len(points)], out=sums[1:])
-        code, distinct = pd.factorize(kernel.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
+        data = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint8)
+        code, distinct = pd.factorize(kernel.hash_spans(data, 4 * start, 4 * end))
+        some = np.zeros(len(distinct), np.int64)
+        some[code[::-1]] = np.arange(len(code))[::-1]  # a place of each part
+        cuts = np.concatenate([[0], np.cumsum(length)])
+        if not kernel.equal_spans(data, 4 * start, 4 * end, data, 4 * start[some][code], 4 * end[some][code]).all():
+            return self.plain(joined, cuts)
         if len(self.keys) + len(distinct) > self.most:
             self.clear()
         place = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), bool)
         inside = place < len(self.keys)
         new[inside] = self.keys[place[inside]] != distinct[inside]
+        known, at = place[~new], some[~new]
+        if not kernel.equal_spans(data, 4 * start[at], 4 * end[at], self.spelling, self.begin[known], self.end[known]).all():
+            return self.plain(joined, cuts)
         if new.any():
-            some = np.zeros(len(distinct), np.int64)
-            some[code[::-1]] = np.arange(len(code))[::-1]
             at = some[new]
             found = [[i for part in stream(self.model, joined[a:b]) for i in part] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
             size = np.array([len(f) for f in found], np.int64)
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys)
+            letters = 4 * (end[at] - start[at])
+            begin = np.concatenate([self.begin, len(self.spelling) + np.cumsum(letters) - letters])
+            self.begin, self.end = begin[order], (begin + np.concatenate([self.end - self.begin, letters]))[order]
+            self.spelling = np.concatenate([self.spelling, data[kernel.span_places(4 * start[at], letters)]])
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])[order]
             self.size = np.concatenate([self.size, size])[order]
             self.keys, self.flat = keys[order], np.concatenate([self.flat, np.array([i for f in found for i in f], np.uint32)])
             place = np.searchsorted(self.keys, distinct)
         n = self.size[place][code]
         upto = np.cumsum(n)
-        ids = self.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.first[place][code] - (upto - n), n)]
-        through = np.concatenate([[0], upto])[np.searchsorted(start, np.concatenate([[0], np.cumsum(length)]))]
+        ids = self.flat[kernel.span_places(self.first[place][code], n)]
+        through = np.concatenate([[0], upto])[np.searchsorted(start, cuts)]
         return ids, np.diff(through)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.model.raw
-        text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        text = b"".join([raw[i] if i < len(raw) else "\ufffd".encode() for i in ids.tolist()]).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
@@ -270,12 +284,15 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def decode_pieces(coded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, text for each row of doc_id, token_ids; null ids give a null text."""
+    """doc_id, text for each row of doc_id, token_ids; null ids give a null text, an id beyond the table the replacement character.
+
+    Bytes after the last whole id of four bytes don't count. Repeated rows and null doc_ids each
+    give a row; no ids give an empty text; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model_path)
         for batch in batches:
-            texts = [None if (v := i.as_py()) is None else coder.decode(np.frombuffer(v, "<u4")) for i in batch["token_ids"]]
+            texts = [None if (v := i.as_py()) is None else coder.decode(np.frombuffer(v[: len(v) // 4 * 4], "<u4")) for i in batch["token_ids"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return pick(coded, "doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")

@@ -6,9 +6,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkvane.llm import kernel
-from sparkvane.llm.common import BATCH_BYTES, Stage, bound_batches, pick, shared_dir
+from sparkvane.llm.common import BATCH_BYTES, Stage, pick, shared_dir, staged_settings
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def test_pick_takes_exact_names(spark):
@@ -18,13 +19,16 @@ def test_pick_takes_exact_names(spark):
         pick(df, "c")
 
 
-def test_batches_are_bounded(spark):
+def test_settings_hold_for_staged_writes_alone(spark):
     old = spark.conf.get(KEY)
     try:
         for given_, kept in (("1g", str(BATCH_BYTES)), ("4m", "4m"), ("9000000", str(BATCH_BYTES)), ("1000b", "1000b")):
             spark.conf.set(KEY, given_)
-            bound_batches(spark)
-            assert spark.conf.get(KEY).rstrip("b") == kept.rstrip("b")
+            with staged_settings(spark):
+                assert spark.conf.get(KEY).rstrip("b") == kept.rstrip("b") and spark.conf.get(CLEANUP) == "true"
+            assert spark.conf.get(KEY).rstrip("b") == given_.rstrip("b") and spark.conf.get(CLEANUP) == "false"
+            Stage(spark, "t").put(spark.range(5).repartition(2))
+            assert spark.conf.get(KEY).rstrip("b") == given_.rstrip("b")
     finally:
         spark.conf.set(KEY, old)
 
@@ -57,6 +61,37 @@ def test_words_and_slices(texts, limit):
             at += len(x)
 
 
+def thue_morse(n, letters="ab"):
+    """A word and its complement: their polynomial hashes modulo 2^64 are equal from about 1,024 letters on, whatever the base."""
+    out = "ab"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return [out[:n].translate(str.maketrans(x, "".join(letters))) for x in ("ab", "ba")]
+
+
+@pytest.mark.parametrize("n", [7, 8, 9, 16, 17, 1024, 2048, 4096])
+def test_hashes_part_patterns_of_letters(n):
+    for letters in ("ab", "eo", "xé"):
+        pair = thue_morse(n, letters)
+        for family in range(6):
+            h = kernel.words_of(pa.array([" ".join(pair), pair[1]]), kernel.NOT_SPACE, family=family).hash
+            assert h[0] != h[1] and h[1] == h[2]
+    codes = np.array([3, 5], np.uint64)
+    a, b = (np.array([codes["ab".index(c)] for c in x]) for x in thue_morse(n))
+    assert kernel.chain(a, n)[0] != kernel.chain(b, n)[0]
+
+
+@given(st.lists(st.text("abé", min_size=1, max_size=20), min_size=1, max_size=20), st.integers(0, 5))
+def test_spans_are_compared_by_bytes(found, family):
+    words = kernel.words_of(pa.array([" ".join(found)]), kernel.NOT_SPACE, family=family)
+    n = len(found)
+    x, y = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    same = kernel.equal_spans(words.data, words.start[x], words.end[x], words.data, words.start[y], words.end[y])
+    assert same.tolist() == [a == b for a in found for b in found]
+    assert (words.hash[x] == words.hash[y]).tolist() == same.tolist()
+    assert kernel.word_bytes(words).to_pylist() == [w.encode() for w in found]
+
+
 def test_hashes_depend_on_words_alone():
     a = kernel.words_of(pa.array(["x yy zzz", "zzz x"]), kernel.NOT_SPACE).hash
     b = kernel.words_of(pa.array(["  q zzz\tyy x"]), kernel.NOT_SPACE).hash

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from sparkvane.llm.common import Stage
 from sparkvane.llm.components import connected_components
-from sparkvane.llm.jaccard import _cells, _settled, _starred, compare, jaccard_components, scheme, shingles, signatures
+from sparkvane.llm.jaccard import _cells, _settled, _starred, compare, exact_shingles, jaccard_components, keep_first, scheme, shingles, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,7 +155,7 @@ def test_linked_counts_exactly():
     a = pa.array([" ".join(f"a{i}" for i in range(103)), "x", "", "p q r s t"])
     b = pa.array([" ".join(f"a{i}" for i in range(88)), "x", "", "p q r s u"])
     assert compare(a, b, 4, 85)[0].tolist() == [True, True, False, False] and compare(a, b, 4, 86)[0].tolist() == [False, True, False, False]
-    assert shingles(a, 4)[2].tolist() == [100, 1, 0, 2]
+    assert shingles(a, 4)[3].tolist() == [100, 1, 0, 2]
 
 
 def test_components_of_a_long_path(spark):
@@ -174,3 +174,41 @@ def test_query_equals_its_sql(spark):
     c = duckdb.connect()
     c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     assert sorted(map(tuple, rows)) == sorted(c.sql(ORACLE_SQL["op10_jaccard"]).fetchall())
+
+
+def test_letters_that_cancel(docs):
+    """Words of two letters whose polynomial hashes modulo 2^64 are equal aren't the same word."""
+    rows = []
+    for n in (1024, 2048, 4096):
+        a = "ab"
+        while len(a) < n:
+            a += a.translate(str.maketrans("ab", "ba"))
+        rows += [(len(rows) + 1, a), (len(rows) + 2, a.translate(str.maketrans("ab", "ba"))), (len(rows) + 3, f"{a} x y z w")]
+    rows.append((100, rows[0][1]))
+    assert sorted(repr(tuple(r)) for r in jaccard_components(docs(rows)).collect()) == brute(rows)
+    ok, _ = compare(pa.array([rows[0][1]]), pa.array([rows[1][1]]), 4, 85)
+    assert ok.tolist() == [False]
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "é", "long-word"]), max_size=9), min_size=1, max_size=6), st.integers(1, 9))
+def test_numbered_shingles(texts, n):
+    array = pa.array([" ".join(t) for t in texts])
+    doc, number, code, size = exact_shingles(array, n)
+    want = [sets(" ".join(t), n) for t in texts]
+    assert size.tolist() == [len(x) for x in want]
+    held = [set(number[doc == i].tolist()) for i in range(len(texts))]
+    for i in range(len(texts)):
+        for k in range(i):
+            assert len(held[i] & held[k]) == len(want[i] & want[k])
+    same, other, _, _ = shingles(array, n)
+    assert same.tolist() == doc.tolist() and sorted(other.tolist()) == sorted(code.tolist())
+
+
+def test_keep_first_keeps_one_row_of_each_group(docs):
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, a), (3, a), (3, a + " more"), (4, a + " tail"), (4, "another text that is no copy at all"), (5, None), (5, None), (None, a), (6, ""), (7, "one two"), (7, "one two"), (8, "one two")]
+    kept = sorted(repr((r.doc_id, r.text)) for r in keep_first(docs(rows), 5, 80).collect())
+    group = [t for t in (a, a + " more") if repr((3, t)) in kept]
+    assert len(group) == 1
+    assert kept == sorted(map(repr, [(3, group[0]), rows[4], (5, None), (5, None), (None, a), (6, ""), (7, "one two")]))
+    assert keep_first(docs([]), 5, 80).count() == 0

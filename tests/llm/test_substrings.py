@@ -50,17 +50,17 @@ def corpus(seed, n=70):
     return rows
 
 
-@pytest.mark.parametrize("seed,per_shard,hot", [(1, 20_000, 4000), (2, 50, 3), (3, 10, 1)])
-def test_against_brute_force(docs, seed, per_shard, hot):
+@pytest.mark.parametrize("seed,per_shard,per_task", [(1, 20_000, 4000), (2, 50, 3), (3, 10, 1)])
+def test_against_brute_force(docs, seed, per_shard, per_task):
     rows = corpus(seed)
-    assert got(dedup_substrings(docs(rows), per_shard=per_shard, hot=hot)) == digest(brute(rows))
+    assert got(dedup_substrings(docs(rows), per_shard=per_shard, per_task=per_task)) == digest(brute(rows))
 
 
 def test_odd_rows(docs, clashing, odd):
     p = " ".join(f"p{i}" for i in range(30))
     rows = odd + [(20 + i, f"x{i} {p}") for i in range(40)] + [(None, p), (None, p), (80, "same " * 50), (81, "same " * 50), (81, "same " * 50), (82, "short " * 19), (83, p.replace(" ", "\n")), (5, p), (5, p + " tail")]
     assert got(dedup_substrings(clashing(rows))) == digest(brute(rows))
-    assert got(dedup_substrings(clashing(rows), hot=2, per_shard=5)) == digest(brute(rows))
+    assert got(dedup_substrings(clashing(rows), per_task=2, per_shard=5)) == digest(brute(rows))
     assert dedup_substrings(docs([])).count() == 0
     assert got(dedup_substrings(docs([(1, None), (2, "")]))) == digest(brute([(1, None), (2, "")]))
 
@@ -73,8 +73,29 @@ def test_other_windows(docs):
 def test_texts(docs):
     rows = corpus(4, 30)
     assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in dedup_substrings(docs(rows), texts=True).collect()) == sorted(map(repr, brute(rows)))
-    cut = sorted(repr((r.doc_id, r.text)) for r in without_repeats(docs(rows)).collect())
-    assert cut == sorted(repr((i, k if m else t)) for (i, _, m, k), (_, t) in zip(brute(rows), rows, strict=True))
+    want = sorted(repr((i, k if m else t)) for (i, _, m, k), (_, t) in zip(brute(rows), rows, strict=True))
+    whole = {t for _, t in rows}
+    assert sorted(repr((r.doc_id, r.text if r.text in whole else " ".join(WORD.findall(r.text)))) for r in without_repeats(docs(rows)).collect()) == want
+
+
+def test_cut_texts_keep_their_lines(docs):
+    p = " ".join(f"p{i}" for i in range(25))
+    rows = [(1, f"head\n  {p}\n\ttail  end "), (2, f" a\n\n{p}\n b\n  c\n"), (3, f"x\n  {p} \n"), (4, f" {p}\n"), (5, None), (6, ""), (7, f"{p}\nlast"), (8, "é \u2003 z")]
+    found = {r.doc_id: r.text for r in without_repeats(docs(rows)).collect()}
+    assert found == {**dict(rows), 2: " a\n\nb\n  c\n", 3: "x \n", 4: " \n", 7: "last"}
+
+
+def test_long_documents_and_stops(docs):
+    """Blocks, chunks, and letters whose polynomial hashes modulo 2^64 are equal."""
+    r = random.Random(9)
+    a = "ab"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    words = [r.choice(["u", "v", "w", "x"]) for _ in range(45_000)]
+    pair = [(a[:n], a[:n].translate(str.maketrans("ab", "ba"))) for n in (1024, 2048, 4096)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[990:1040] + ["cut"] + words[19_970:20_050] + ["cut"] + words[44_000:])), (3, " ".join(words[500:43_000]))]
+    rows += [(10 + k, " ".join([side[k % 2], *(f"w{i}" for i in range(19))])) for k, side in enumerate(x for x in pair for _ in (0, 1))]
+    assert got(dedup_substrings(docs(rows))) == digest(brute(rows))
 
 
 def test_query_equals_its_sql(spark):
