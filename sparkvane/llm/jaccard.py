@@ -14,10 +14,8 @@ threshold differ in at most H shingles, so of m > H segments at least m - H are
 
 Equal sets are one node from the start. Groups of nodes that share a signature aren't expanded
 into pairs: each node is verified against its group's hub. Where a hub's nodes then lie in
-several components, a cluster of bounded size is settled in one task, which returns only links
-that join components; of a larger one, nodes that differ from the hub in a common shingle (others
-have no link that the hub doesn't carry) form smaller groups, and so on. A smaller group that was
-tested against its hub before is settled whole, in cells of bounded size.
+several components, those outside the hub's own are asked against the cluster's others, block by block,
+in cells of bounded size, which return only links that join components.
 """
 
 from __future__ import annotations
@@ -198,27 +196,17 @@ def signatures(doc: np.ndarray, code: np.ndarray, size: np.ndarray, percent: int
     return np.concatenate(out_doc).astype(np.int64), np.concatenate(out_key)
 
 
-def compare(a: pa.Array, b: pa.Array, n: int, percent: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For each pair of texts: whether 100 * intersection >= percent * union, counted on the words themselves;
-    and the hashes of the first H + 1 shingles that a has and b hasn't, or else b has and a hasn't."""
+def compare(a: pa.Array, b: pa.Array, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of texts: whether 100 * intersection >= percent * union, counted on the words themselves; and how many shingles are in one alone."""
     k = len(a)
-    doc, number, code, size = exact_shingles(pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())]), n)
-    na, nb, ours, doc = size[:k], size[k:], doc >= k, doc % max(k, 1)
+    doc, number, _, size = exact_shingles(pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())]), n)
+    doc = doc % max(k, 1)
     order = np.lexsort((number, doc))
-    doc, number, code, ours = doc[order], number[order], code[order], ours[order]
+    doc, number = doc[order], number[order]
     same = (doc[1:] == doc[:-1]) & (number[1:] == number[:-1])
     common = np.bincount(doc[1:][same], minlength=k)
-    alone = np.ones(len(doc), bool)
-    alone[1:] &= ~same
-    alone[:-1] &= ~same
-    doc, code, ours = doc[alone], code[alone], ours[alone]
-    order = np.lexsort((code, ours, doc))
-    doc, code = doc[order], code[order]
-    begin = np.searchsorted(doc, np.arange(k + 1))
-    s = scheme(percent)
-    most = s.differ(na, s.largest(na)) + 1
-    ends = np.minimum(begin[1:], begin[:-1] + most)
-    return (100 * common >= percent * (na + nb - common)) & (common > 0), [code[x:y] for x, y in zip(begin[:-1].tolist(), ends.tolist(), strict=True)]
+    total = size[:k] + size[k:]
+    return (100 * common >= percent * (total - common)) & (common > 0), total - 2 * common
 
 
 INDEX = "sig long, node long, doc_id long, text_key long, n int, check long"
@@ -270,9 +258,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, n: int, family: int, broadcast_row
     return found.mapInArrow(check, "node long, text string").dropDuplicates(["node"])
 
 
-def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: int, percent: int, stage: Stage, broadcast_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """node, hub, linked, rest for each node that shares a group (sig, node) with that hub, but for known ones;
-    and the groups all of whose pairs are known, if any may be.
+def _starred(members: DataFrame, texts: DataFrame, n: int, percent: int, stage: Stage, broadcast_rows: int) -> DataFrame:
+    """node, hub, linked, apart (shingles in one of the two alone) for each node that shares a group (sig, node) with that hub.
 
     A group's hub is its node with most neighbours by signatures: in a family of copies, the one
     that they are copies of.
@@ -280,47 +267,40 @@ def _starred(members: DataFrame, known: DataFrame | None, texts: DataFrame, n: i
     sizes = stage.put(members.groupBy("sig").agg(F.count("*").alias("size")))
     ranks = stage.put(members.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("rank")))
     hubs = stage.put(members.join(ranks, "node").groupBy("sig").agg(F.max(F.struct("rank", "node")).alias("top")).select("sig", F.col("top.node").alias("hub")))
-    pairs, stalled = members.join(hubs, "sig").where("node <> hub"), None
-    if known is not None:
-        pairs = stage.put(pairs.join(known, ["node", "hub"], "left_anti").select("sig", "node", "hub"))
-        stalled = stage.put(members.join(pairs, "sig", "left_anti"))
-    pairs = stage.put(pairs.select("node", "hub").distinct())
+    pairs = stage.put(members.join(hubs, "sig").where("node <> hub").select("node", "hub").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.slices(batch, "x", 1_000_000):
-                ok, rest = compare(part["x"], part["y"], n, percent)
-                yield pa.RecordBatch.from_arrays([part["node"], part["hub"], pa.array(ok), pa.array([r.view(np.int64) for r in rest], pa.list_(pa.int64()))], names=["node", "hub", "linked", "rest"])
+                ok, apart = compare(part["x"], part["y"], n, percent)
+                yield pa.RecordBatch.from_arrays([part["node"], part["hub"], pa.array(ok), pa.array(apart)], names=["node", "hub", "linked", "apart"])
 
     x, y = texts.withColumnRenamed("text", "x"), texts.select(F.col("node").alias("hub"), F.col("text").alias("y"))
-    fresh = stage.put(x.join(_sent(pairs, broadcast_rows), "node").join(y, "hub").select("node", "hub", "x", "y").mapInArrow(run, "node long, hub long, linked boolean, rest array<long>"))
-    return fresh, stalled
+    return stage.put(x.join(_sent(pairs, broadcast_rows), "node").join(y, "hub").select("node", "hub", "x", "y").mapInArrow(run, "node long, hub long, linked boolean, apart long"))
 
 
 def within(table: pa.Table, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the texts of a group of bounded size that join what roots and links so far don't.
+    """Links of the asked texts of a cell with others of it, but for those that roots and links so far imply.
 
     Each set's overlaps with all others come from the postings of its shingles.
     """
     text = pa.chunked_array(table["text"]).combine_chunks()
-    node, (_, at) = table["node"].to_numpy(), np.unique(table["root"].to_numpy(), return_inverse=True)
-    doc, code, _, size = exact_shingles(text, n)
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], doc[order]
-    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
-    times = np.diff(np.append(first, len(code)))
-    group = np.empty(len(code), np.int64)
+    node, asked, (_, at) = table["node"].to_numpy(), table["asked"].to_numpy(), np.unique(table["root"].to_numpy(), return_inverse=True)
+    doc, number, _, size = exact_shingles(text, n)
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], doc[order]
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+    times = np.diff(np.append(first, len(number)))
+    group = np.empty(len(number), np.int64)
     group[order] = np.repeat(np.arange(len(first)), times)
     begin = np.searchsorted(doc, np.arange(len(size) + 1))
     out = []
-    for x in range(len(size)):
+    for x in np.flatnonzero(asked).tolist():
         mine = group[begin[x] : begin[x + 1]]
         mine = mine[times[mine] > 1]
         if not len(mine):
             continue
-        k = times[mine]
-        upto = np.cumsum(k)
-        common = np.bincount(owner[np.arange(upto[-1]) + np.repeat(first[mine] - (upto - k), k)], minlength=len(size))
+        common = np.bincount(owner[kernel.span_places(first[mine], times[mine])], minlength=len(size))
         for y in np.flatnonzero((common > 0) & (100 * common >= percent * (size + size[x] - common)) & (at != at[x])).tolist():
             if at[x] != at[y]:
                 out.append((node[x], node[y]))
@@ -329,47 +309,55 @@ def within(table: pa.Table, n: int, percent: int) -> tuple[np.ndarray, np.ndarra
     return found[:, 0], found[:, 1]
 
 
-def _settled(clusters: DataFrame, texts: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """Links (a, b) inside clusters (hub, node, root) of bounded size."""
+def _open(stars: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int, cell_sets: int, cell_shingles: int, stage: Stage) -> DataFrame:
+    """Cells (cell, node, root, asked) of bounded size in which every pair of nodes that may still be linked meets.
+
+    Two linked nodes are in a cluster, a hub with its star. If they lie in different components, one of them isn't in
+    the hub's: these open nodes are asked, in blocks against blocks of the cluster. Symmetric differences obey the
+    triangle inequality; so an open node that is farther from the hub than the hub's own component reaches, and the most
+    by which linked sets of its size differ, can't be linked with this, and is asked against the open ones alone.
+    """
+    most = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent))
+    hubs = stars.select("hub").distinct().select("hub", F.col("hub").alias("node"), F.lit(0).cast("long").alias("apart"))
+    rooted = stage.put(stars.select("hub", "node", "apart").union(hubs).join(roots, "node", "left").join(sizes, "node").select("hub", "node", F.coalesce("root", "node").alias("root"), "apart", "n"))
+    of_hub = rooted.where("node = hub").select("hub", F.col("root").alias("own"))
+    placed = rooted.join(of_hub, "hub").withColumn("open", F.col("root") != F.col("own"))
+    each = placed.groupBy("hub").agg(F.max(F.when(~F.col("open"), F.col("apart"))).alias("reach"), F.max("open").alias("mixed")).where("mixed")
+    placed = stage.put(placed.join(each.select("hub", "reach"), "hub").withColumn("far", F.col("open") & (F.col("apart") > F.col("reach") + most)))
+    blocks = lambda k, total: F.greatest(F.lit(1), F.ceil(F.col(k) * 2 / cell_sets), F.ceil(F.col(total) * 2 / cell_shingles)).cast("int")
+    near, far = (F.col("open") & ~F.col("far")), F.col("far")
+    counts = placed.groupBy("hub").agg(*(f(F.when(c, v)).alias(a) for a, c, f, v in (
+        ("k", F.lit(True), F.count, F.lit(1)), ("total", F.lit(True), F.sum, F.col("n")), ("k_near", near, F.count, F.lit(1)), ("total_near", near, F.sum, F.col("n")), ("k_far", far, F.count, F.lit(1)), ("total_far", far, F.sum, F.col("n")),
+    )))
+    counts = stage.put(counts.na.fill(0).select("hub", blocks("k", "total").alias("all"), (F.col("k_near") > 0).cast("int").alias("any_near"), blocks("k_near", "total_near").alias("near_blocks"), (F.col("k_far") > 0).cast("int").alias("any_far"), blocks("k_far", "total_far").alias("far_blocks")))
+    dealt = placed.join(counts, "hub").withColumn("lot", F.abs(F.xxhash64("node") % 1_000_000_007))
+    upto = lambda b: F.sequence(F.lit(0), F.col(b) - 1)
+    own = lambda b: F.array((F.col("lot") % F.col(b)).cast("int"))
+
+    def grid(kind: int, rows, asks, ask_blocks: str, other_blocks: str) -> DataFrame:
+        """Asked nodes go to each cell of their row of blocks, all nodes to each cell of their column."""
+        here = dealt.where(rows)
+        both = here.withColumn("at", F.explode(F.concat(
+            F.when(asks, F.transform(upto(other_blocks), lambda j: F.struct(own(ask_blocks)[0].alias("i"), j.alias("j"), F.lit(True).alias("asked")))).otherwise(F.array().cast("array<struct<i:int,j:int,asked:boolean>>")),
+            F.transform(upto(ask_blocks), lambda i: F.struct(i.alias("i"), own(other_blocks)[0].alias("j"), F.lit(False).alias("asked"))),
+        )))
+        return both.select(F.xxhash64("hub", F.lit(kind), "at.i", "at.j").alias("cell"), "node", "root", "at.asked")
+
+    cells = grid(0, F.col("any_near") == 1, near, "near_blocks", "all").union(grid(1, (F.col("any_far") == 1) & F.col("far"), far, "far_blocks", "far_blocks"))
+    return stage.put(cells.groupBy("cell", "node", "root").agg(F.max("asked").alias("asked")))
+
+
+def _settled(cells: DataFrame, texts: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """Links (a, b) between components inside cells."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b = within(table, n, percent)
         return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return texts.join(_sent(clusters, broadcast_rows), "node").select("hub", "node", "root", "text").groupBy("hub").applyInArrow(run, "a long, b long")
-
-
-def _cells(groups: DataFrame, roots: DataFrame, sizes: DataFrame, done: DataFrame | None, most: int, most_shingles: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """Cells (hub, node, root) of bounded size in which any two nodes of a group (sig, node) meet, and marks of these groups.
-
-    Groups of equal nodes count once; those in one component or marked as done are left out. A group
-    beyond the bound is dealt into blocks of about a quarter of it, and each two blocks are a cell.
-    """
-    rooted = stage.put(groups.join(roots, "node", "left").join(sizes, "node").select("sig", "node", F.coalesce("root", "node").alias("root"), "n"))
-    each = rooted.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("r0 <> r1")
-    each = each.groupBy("mark", "k", "total").agg(F.min("sig").alias("sig"))
-    each = stage.put(each if done is None else each.join(done, ["mark", "k", "total"], "left_anti"))
-    whole = (F.col("k") <= most) & (F.col("total") <= most_shingles)
-    blocks = F.when(whole, 1).otherwise(F.greatest(F.lit(2), F.ceil(4 * F.col("k") / most), F.ceil(4 * F.col("total") / most_shingles)).cast("int"))
-    dealt = rooted.join(each.select("sig", blocks.alias("blocks")), "sig").withColumn("one", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("one <> other or blocks = 1")
-    return stage.put(dealt.select(F.xxhash64("sig", F.least("one", "other"), F.greatest("one", "other")).alias("hub"), "node", "root")), each.drop("sig")
-
-
-def _refined(clusters: DataFrame, stars: DataFrame, stage: Stage) -> DataFrame:
-    """Smaller groups (sig, node) of clusters (hub, node, root): of what may be linked without the hub knowing.
-
-    Let d(x) be the shingles in which x differs from its hub. Linked x and y with disjoint
-    d(x) and d(y) are both linked to the hub, as sets that differ in at most k * (|x| + |y|)
-    are linked, and |d(x)| + |d(y)| is that difference. Others share a shingle of d(x) and d(y), and one
-    among the first H + 1 of each (the prefix filter, as the overlap is |d(x)| - H at least).
-    """
-    parts = stage.put(clusters.join(stars, ["hub", "node"]).select("node", "root", F.explode(F.transform("rest", lambda t: F.xxhash64("hub", t))).alias("sig")))
-    mixed = stage.put(parts.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig"))
-    return stage.put(parts.join(mixed, "sig").select("sig", "node").distinct())
+    return texts.join(_sent(cells, broadcast_rows), "node").select("cell", "node", "root", "asked", "text").groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def _components(docs: DataFrame, n: int, percent: int, broadcast_rows: int, most: int, most_shingles: int) -> DataFrame:
+def _components(docs: DataFrame, n: int, percent: int, broadcast_rows: int, cell_sets: int, cell_shingles: int) -> DataFrame:
     """doc_id, text_key, n, root, component of each row, staged; root is the component's node, null for an empty set or a null doc_id."""
     stage = Stage(docs.sparkSession, "jaccard")
     for family in (0, 2, 4):
@@ -386,30 +374,12 @@ def _components(docs: DataFrame, n: int, percent: int, broadcast_rows: int, most
     groups = stage.put(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"))
     members = stage.put(signed.join(groups.hint("shuffle_hash"), "sig").distinct())
     texts = stage.put(_texts(docs, members.select("node").distinct().join(nodes, "node"), n, family, broadcast_rows))
-    stars, done, roots = None, None, nodes.limit(0).selectExpr("node", "node root")
-    # a link between two components is inside a group of each round: the hub's cluster takes over what is open in a group
-    # with a new pair, and others are settled. Every pair of a node and a hub is tested once, so this ends
-    while not members.isEmpty():
-        fresh, stalled = _starred(members, stars, texts, n, percent, stage, broadcast_rows)
-        stars = fresh if stars is None else stars.union(fresh)
-        links = fresh.where("linked").selectExpr("node a", "hub b").union(roots.selectExpr("node a", "root b"))
-        roots = stage.put(connected_components(links, stage))
-        if stalled is not None and not stalled.isEmpty():
-            cells, marks = _cells(stalled, roots, sizes, done, most, most_shingles, stage)
-            done = marks if done is None else done.union(marks)
-            found = stage.put(_settled(cells, texts, n, percent, broadcast_rows))
-            roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))
-        # hubs whose nodes still lie in several components
-        hubs = fresh.select("hub").distinct()
-        rooted = stage.put(stars.join(hubs, "hub").select("hub", "node").join(roots, "node", "left").join(sizes, "node").select("hub", "node", F.coalesce("root", "node").alias("root"), "n"))
-        spread = rooted.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k"), F.sum("n").alias("total")).where("r0 <> r1")
-        spread = stage.put(spread.select("hub", ((F.col("k") <= most) & (F.col("total") <= most_shingles)).alias("small")))
-        open_ = stage.put(rooted.join(spread, "hub").select("hub", "node", "root", "small"))
-        small, large = open_.where("small").drop("small"), open_.where("not small").drop("small")
-        if not small.isEmpty():
-            found = stage.put(_settled(small, texts, n, percent, broadcast_rows))
-            roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))
-        members = _refined(large, stars, stage)
+    stars = _starred(members, texts, n, percent, stage, broadcast_rows)
+    roots = stage.put(connected_components(stars.where("linked").selectExpr("node a", "hub b"), stage))
+    cells = _open(stars, roots, sizes, percent, cell_sets, cell_shingles, stage)
+    if not cells.isEmpty():
+        found = stage.put(_settled(cells, texts, n, percent, broadcast_rows))
+        roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))
     best = roots.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component"))
     labels = nodes.join(roots.join(best, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component", "doc_id").alias("component"))
     taking = F.col("doc_id").isNotNull() & (F.col("n") > 0)
@@ -419,7 +389,7 @@ def _components(docs: DataFrame, n: int, percent: int, broadcast_rows: int, most
     return result
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 300_000, most: int = 512, most_shingles: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 300_000, cell_sets: int = 256, cell_shingles: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; two rows link at Jaccard >= percent / 100.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; the set is of distinct
@@ -429,16 +399,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     links and its component is null. An empty table gives no rows. Equal sets are told by two
     64-bit hashes of their words' bytes, links are counted on the words themselves.
     """
-    return _components(docs, n, percent, broadcast_rows, most, most_shingles).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    return _components(docs, n, percent, broadcast_rows, cell_sets, cell_shingles).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, n: int, percent: int, broadcast_rows: int = 300_000, most: int = 512, most_shingles: int = 500_000) -> DataFrame:
+def keep_first(docs: DataFrame, n: int, percent: int, broadcast_rows: int = 300_000, cell_sets: int = 256, cell_shingles: int = 500_000) -> DataFrame:
     """One document of each group of near copies: the row of smallest doc_id, as it is.
 
     Where rows share that doc_id, the one of smallest text hash stays, and of repeated rows one. Rows
     with an empty or null text or a null doc_id take no part and stay. An empty table gives no rows.
     """
-    told = _components(docs, n, percent, broadcast_rows, most, most_shingles).where("root is not null")
+    told = _components(docs, n, percent, broadcast_rows, cell_sets, cell_shingles).where("root is not null")
     kept = told.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     gone = told.join(kept, "root").where(F.struct("doc_id", "text_key") > F.col("first")).select("doc_id", "text_key").distinct()
     marked = docs.withColumn("text_key", text_key())

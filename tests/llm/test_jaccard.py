@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from sparkvane.llm.common import Stage
 from sparkvane.llm.components import connected_components
-from sparkvane.llm.jaccard import _cells, _settled, _starred, compare, exact_shingles, jaccard_components, keep_first, scheme, shingles, signatures
+from sparkvane.llm.jaccard import _open, _settled, compare, exact_shingles, jaccard_components, keep_first, scheme, shingles, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -106,42 +106,44 @@ def test_families_of_copies(docs):
             words[at] = w
         rows.append((i, " ".join(words)))
     assert got(jaccard_components(docs(rows), broadcast_rows=0)) == brute(rows)
-    assert got(jaccard_components(docs(rows[:30]), percent=90, most=10)) == brute(rows[:30], percent=90)
+    assert got(jaccard_components(docs(rows[:30]), percent=90, cell_sets=6)) == brute(rows[:30], percent=90)
 
 
-def test_groups_that_are_settled_in_cells(spark):
-    """Groups of several times `most` sets whose pairs with the hub are known: their other links are found."""
+def test_open_nodes_meet_all_that_they_may_be_linked_with(spark):
+    """Clusters of several times `cell_sets` sets whose hub is linked with few of them: cells are bounded and miss no link."""
     words = {}
-    for seed in range(12):  # a hub that is linked with nothing, and a chain of copies
+    for seed in range(8):  # a hub, copies of it, a chain away from it, and strangers that are copies of one another
         r, base = random.Random(seed), [f"b{seed}_{i}" for i in range(40)]
-        words[seed * 100] = [f"b{seed}_{i}" for i in range(20)]
-        for i in range(1, 30):
+        words[seed * 100] = base
+        for i in range(1, 12):
+            words[seed * 100 + i] = [f"y{seed}_{i}" if k == i else w for k, w in enumerate(base)]
+        for i in range(12, 30):
             base = list(base)
-            base[r.randrange(20, 40)] = f"x{seed}_{i}"
+            base[r.randrange(10, 40)] = f"x{seed}_{i}"
             words[seed * 100 + i] = base
+        for i in range(30, 40):
+            words[seed * 100 + i] = [f"z{seed}_{k}" for k in range(40 - i % 3)]
     texts = spark.createDataFrame([(k, " ".join(w)) for k, w in words.items()], "node long, text string")
-    sizes = spark.createDataFrame([(k, len(w)) for k, w in words.items()], "node long, n int")
-    members = spark.createDataFrame([(k // 100, k) for k in words] + [(k // 100 + 1000, k) for k in words if k % 100], "sig long, node long")
-    known = spark.createDataFrame([(a, b) for a in words for b in words if a // 100 == b // 100 and a % 100 and (b % 100 == 0 or b % 100 == 29)], "node long, hub long")
-    stage, none = Stage(spark, "t"), sizes.limit(0).selectExpr("node", "node root")
-    known = known.union(known.selectExpr("hub", "node")).distinct()
-    hubs = {r.hub for r in known.collect()}
-    fresh, stalled = _starred(members, known, texts, 1, 90, stage, 100)
-    tested = {(r.node, r.hub) for r in fresh.collect()}
-    for sig in {r.sig for r in stalled.collect()}:
-        assert not any(a // 100 == sig % 1000 and b // 100 == sig % 1000 and a % 100 and b in hubs for a, b in tested)
-    cells, marks = _cells(members, none, sizes, None, 8, 10**6, stage)
+    sizes = spark.createDataFrame([(k, len(set(w))) for k, w in words.items()], "node long, n int")
+    apart = lambda a, b: len(set(words[a]) ^ set(words[b]))
+    linked = lambda a, b: 100 * len(set(words[a]) & set(words[b])) >= 90 * len(set(words[a]) | set(words[b]))
+    stars = spark.createDataFrame([(k, k // 100 * 100, linked(k, k // 100 * 100), apart(k, k // 100 * 100)) for k in words if k % 100], "node long, hub long, linked boolean, apart long")
+    stage = Stage(spark, "t")
+    roots = stage.put(connected_components(stars.where("linked").selectExpr("node a", "hub b"), stage))
+    cells = _open(stars, roots, sizes, 90, 8, 10**6, stage)
     held = {}
     for r in cells.collect():
-        held.setdefault(r.hub, set()).add(r.node)
-    met = {frozenset((a, b)) for c in held.values() for a in c for b in c if a != b}
-    assert met == {frozenset((a, b)) for a in words for b in words if a != b and a // 100 == b // 100}
-    assert max(map(len, held.values())) <= 16
-    found = connected_components(_settled(cells, texts, 1, 90, 100), stage).collect()
-    want = brute([(k, " ".join(w)) for k, w in words.items()], 1, 90)
-    root = {r.node: r.root for r in found}
-    assert sorted(repr((k, len(set(w)), root.get(k, k))) for k, w in words.items()) == want
-    assert _cells(members, none, sizes, marks, 8, 10**6, stage)[0].isEmpty()
+        held.setdefault(r.cell, []).append((r.node, r.asked))
+    met = {frozenset((a, b)) for c in held.values() for a, ask in c for b, _ in c if ask and a != b}
+    root = {r.node: r.root for r in roots.collect()}
+    must = {frozenset((a, b)) for a in words for b in words if a != b and linked(a, b) and root.get(a, a) != root.get(b, b)}
+    assert len(must) > 50 and must <= met and max(map(len, held.values())) <= 32
+    assert not any(c[0][0] // 100 != x // 100 for c in held.values() for x, _ in c)
+    far = {frozenset((a, b)) for a in words for b in words if a // 100 == b // 100 and a % 100 >= 30 and 0 < b % 100 < 12}
+    assert not far & met  # strangers aren't asked against the hub's own
+    links = _settled(cells, texts, 1, 90, 100).union(roots.selectExpr("node a", "root b"))
+    root = {r.node: r.root for r in connected_components(links, stage).collect()}
+    assert sorted(repr((k, len(set(w)), root.get(k, k))) for k, w in words.items()) == brute([(k, " ".join(w)) for k, w in words.items()], 1, 90)
 
 
 def test_odd_rows(docs, clashing, odd):
