@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter
 
+from sparkvane.llm import sharding
+from sparkvane.llm.common import Stage
 from sparkvane.llm.sharding import shard_documents, write_shards
 
 
@@ -28,13 +30,51 @@ def test_bytes_are_near_equal(docs, clashing, odd):
     holds([(1, None)] * 40, shard_documents(docs([(1, None)] * 40), 4).collect(), 4)
 
 
-def test_same_result_again_and_written(spark, docs, tmp_path):
+def test_same_result_again(docs):
     rows = [(i, "x" * (i % 37)) for i in range(500)]
     one, two = (sorted(map(tuple, shard_documents(docs(rows), 5).collect())) for _ in range(2))
     assert one == two
-    write_shards(docs(rows), shard_documents(docs(rows), 5), str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 500 and back.select("shard").distinct().count() == 5
+
+
+def test_written_rows_are_the_rows(spark, docs, clashing, odd, tmp_path):
+    rows = odd + [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, None), (2, None)] + [(i, "x" * (i % 37)) for i in range(300)]
+    for k, df in enumerate((docs(rows), clashing(rows), docs([]))):
+        write_shards(df, str(tmp_path / str(k)), 5, target_rows=20)
+        back = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(str(tmp_path / str(k)))
+        assert Counter((r.doc_id, r.text) for r in back.collect()) == (Counter(rows) if k < 2 else Counter())
+        assert sorted((r.shard, r.slot) for r in back.collect()) == sorted((s, i) for s, n in Counter(r.shard for r in back.collect()).items() for i in range(n))
+    names = spark.read.parquet(str(tmp_path / "1")).columns
+    assert {"shard_2", "TEXT_2", "Doc_Id_2"} <= set(names)
+
+
+def test_ranges_are_parted_until_none_is_overfull(spark, monkeypatch):
+    """More ranges than are made at a time, one key that a third of all rows has, and a row beyond any range."""
+    monkeypatch.setattr(sharding, "FAN", 8)
+    monkeypatch.setattr(sharding, "LEVELS", 12)
+    r = random.Random(3)
+    rows = [(i, 7 if i % 3 == 0 else r.randrange(10**6), 5, r.choice([1, 1, 2, 30]) if i else 5000) for i in range(3000)]
+    keyed = spark.createDataFrame(rows, "row long, key long, tie long, size long")
+    stage = Stage(spark, "t")
+    weighted = stage.put(keyed.selectExpr("*", "struct(key, tie, row) at", "double(size) weight"))
+    target = sum(x[3] for x in rows) / 300
+    placed = sharding._ranged(weighted, stage, target).collect()
+    assert sorted((p.row, p.key, p.tie, p.size) for p in placed) == sorted(rows)
+    weight, held = Counter(), Counter()
+    for p in placed:
+        weight[p.part] += p.size
+        held[p.part] += 1
+    assert len(held) > 100 and all(weight[k] <= 2 * target or held[k] == 1 for k in held)
+    order = sorted(placed, key=lambda p: (p.key, p.tie, p.row))
+    assert [p.part for p in order] == sorted(p.part for p in placed)
+
+
+def test_query_over_its_table(spark):
+    from sparkvane.llm.queries import QUERIES
+
+    got = QUERIES["op9_shards"](spark, "/root/testdata/sf0.01").collect()
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    holds([tuple(r) for r in rows], got, 16)
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
 
 
 def test_equal_texts_are_neighbours(docs):
