@@ -13,35 +13,44 @@ from pyspark.sql import functions as F
 from sparkvane.llm import jaccard, langid, packing, pii, substrings
 from sparkvane.llm.common import Stage, pick, read
 
-#: A text whose likeliest language has less than this probability is rejected, as is one without letters.
-LEAST_SURE = 0.5
+#: By how much the mean log-probability of a text's n-grams must be above the background's; below, for names and foreign phrases.
+LEAST_ABOVE = -1.0
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told from the text; null texts and those without a letter go."""
+    """Keeps documents of a language that was learned; others, null texts and those without a letter go.
+
+    Repeated rows and rows without a doc_id are judged like others; an empty table gives no rows.
+    """
     docs = pick(docs, *COLUMNS)
-    return langid.keep_known(spark, docs, langid.fit(docs), LEAST_SURE)
+    return langid.keep_known(spark, docs, langid.fit(docs), LEAST_ABOVE)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five words, Jaccard 0.8): the smallest doc_id."""
+    """Keeps one document of each group of near copies (five words, Jaccard 0.8): the smallest doc_id.
+
+    Of repeated rows one stays. Null and empty texts and rows without a doc_id are in no group and stay.
+    """
     return jaccard.keep_first(pick(docs, *COLUMNS), 5, 80)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 20 words or more that stand earlier too; the documents stay."""
+    """Cuts passages of 20 words or more that stand earlier too; the documents stay, and so do their lines.
+
+    Null texts stay null; rows that share a doc_id are one place in order, so repeated rows are cut alike.
+    """
     return substrings.without_repeats(pick(docs, *COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in text."""
+    """Masks personal data in text; each row gives a row, null texts stay null."""
     docs = pick(docs, *COLUMNS)
     return pii.redact(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, with their ids."""
+    """Pieces of sequences of 4096 tokens, with their ids; each row is a document, a null or empty text the end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
