@@ -21,24 +21,63 @@ from .common import pick
 #: Phrases whose places are counted, and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Labels and the markup of the wording that grants them.
+#: Labels and the markup of the wording that grants them: notices, and short licenses as a whole.
+_LICENSED = '[[is]] [[are]] licensed under [[the terms of]]'
+_HOLDER = '<<var;match=".+";max=12>>'
+_AS_IS = f"""this software is provided by {_HOLDER} as is and any express or implied warranties including but not limited to the implied
+    warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {_HOLDER} be liable
+    for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of
+    substitute goods or services loss of use data or profits or business interruption however caused and on any theory of
+    liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the
+    use of this software even if advised of the possibility of such damage"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+    conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the
+    following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and
+    the following disclaimer in the documentation and or other materials provided with the distribution"""
+_GNU = """free software you can redistribute it and or modify it under the terms of the gnu {name} general public license as published by
+    the free software foundation either version {number} of the license or at your option any later version"""
 TEMPLATES = (
-    ("apache-2.0", 'licensed under the apache [[software]] license [[,]] [[version]] 2.0'),
-    ("gpl-3.0", 'licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 3'),
-    ("gpl-2.0", 'licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 2'),
-    ("gpl-3.0", 'gnu general public license as published by the free software foundation either version 3 of the license'),
-    ("mit", 'released under the [[terms of the]] mit license'),
-    ("mit", 'licensed under the [[terms of the]] mit license'),
-    ("mit", 'permission is hereby granted free of charge to any person obtaining a copy of this <<var;match="[a-z]+";max=4>> and associated documentation files [[the software]] to deal in the <<var;match="[a-z]+";max=4>> without restriction'),
-    ("cc-by-nc", 'licensed under [[a]] [[creative commons]] cc by nc <<var;match="[0-9]+";max=2>>'),
-    ("cc-by-4.0", 'licensed under [[a]] [[creative commons]] cc by 4.0'),
-    ("cc-by-4.0", 'licensed under [[a]] creative commons attribution 4.0 [[international]] license'),
-    ("bsd", 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
-    ("isc", 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted'),
-    ("mpl-2.0", 'subject to the terms of the mozilla public license v 2.0'),
+    ("apache-2.0", f"{_LICENSED} the apache [[software]] license [[,]] [[version]] 2.0"),
+    ("gpl-3.0", f"{_LICENSED} the gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 3"),
+    ("gpl-2.0", f"{_LICENSED} the gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 2"),
+    ("gpl-3.0-or-later", _GNU.format(name="", number=3)),
+    ("gpl-2.0-or-later", _GNU.format(name="", number=2)),
+    ("lgpl-3.0-or-later", _GNU.format(name="lesser", number=3)),
+    ("lgpl-2.1-or-later", _GNU.format(name="lesser", number="2.1")),
+    ("agpl-3.0-or-later", _GNU.format(name="affero", number=3)),
+    ("mit", "released under [[the]] [[terms of the]] mit license"),
+    ("mit", f"{_LICENSED} the mit license"),
+    ("mit", f"""permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+    software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+    sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following
+    conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or
+    substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not
+    limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {_HOLDER} be liable
+    for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+    software or the use or other dealings in the software"""),
+    ("bsd-2-clause", f"{_BSD} {_AS_IS}"),
+    ("bsd-3-clause", f"""{_BSD} [[3]] neither the name of {_HOLDER} nor the names of its contributors may be used to endorse or promote products
+    derived from this software without specific prior written permission {_AS_IS}"""),
+    ("isc", f"""permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the
+    above copyright notice and this permission notice appear in all copies the software is provided as is and {_HOLDER} disclaims all
+    warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {_HOLDER} be
+    liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+    whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"""),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
+    arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial
+    applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be
+    misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product
+    documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be
+    misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution"""),
+    ("cc-by-nc", f"{_LICENSED} [[a]] [[creative commons]] cc by nc <<var;match=\"[0-9]+\";max=2>>"),
+    ("cc-by-4.0", f"{_LICENSED} [[a]] [[creative commons]] cc by 4.0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("proprietary", 'copyright [[c]] <<var;match="[0-9]{4}";max=2>> <<var;match=".+";max=6>> all rights reserved'),
 )
 
+#: A template doesn't hold where one of these is among the three words before it.
+NEGATIONS = frozenset("not never neither nor no isn aren wasn weren cannot without".split())
+
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 _PART = re.compile(r'(\[\[)|(\]\])|<<var;match="([^"]*)";max=([0-9]+)>>|([^\s\[\]<>]+)')
 
@@ -110,8 +149,10 @@ class Automaton:
                     todo.append(x)
         return states
 
-    def accepted(self, words: kernel.Words, at: int, last: int) -> set[str]:
-        """Labels of templates whose mandatory wording stands from word `at` on."""
+    def accepted(self, words: kernel.Words, at: int, first: int, last: int) -> set[str]:
+        """Labels of templates whose mandatory wording stands from word `at` on, unless it is negated just before."""
+        if any(words.data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace") in NEGATIONS for i in range(max(first, at - 3), at)):
+            return set()
         found: set[str] = set()
         states = self.closure(set(self.starts))
         while states:
@@ -131,6 +172,15 @@ class Automaton:
         return found
 
 
+def whole_text(label: str, text: str, optional: str = r"(?im)^\s*copyright\b.*$") -> tuple[str, str]:
+    """A template of a license's whole text: all its words are mandatory, but for lines that match `optional`.
+
+    In place of such a line up to twelve words of any kind may stand.
+    """
+    parts = [" ".join(_WORD.findall(p.lower())) for p in re.split(optional, text)]
+    return label, f" {_HOLDER} ".join(p for p in parts if p)
+
+
 COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -140,7 +190,7 @@ def scan_licenses(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASE
     Words are runs of ASCII digits, letters (lower-cased) and anything beyond ASCII, in the
     whole text. n_base counts every place of every phrase, overlapping ones too; first_word
     and last_word are null without one. score is 1 where a template accepts, 0.5 with a
-    phrase alone, else 0. A null or empty text has no words and no labels; repeated rows and
+    phrase alone, else 0. A template's wording doesn't count after a negation, as in "not licensed under". A null or empty text has no words and no labels; repeated rows and
     null doc_ids each give a row; an empty table gives none. Texts of any length are read whole.
     """
     machine = Automaton.compile(templates)
@@ -168,7 +218,7 @@ def scan_licenses(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASE
                         base.setdefault(d, set()).add(label)
                 begin = np.flatnonzero(np.isin(h, machine.first))
                 for i, d in zip(begin.tolist(), (np.searchsorted(words.first, begin, "right") - 1).tolist(), strict=True):
-                    if got := machine.accepted(words, i, int(words.first[d + 1])):
+                    if got := machine.accepted(words, i, int(words.first[d]), int(words.first[d + 1])):
                         own.setdefault(d, set()).update(got)
                 none = total == 0
                 yield pa.RecordBatch.from_arrays(

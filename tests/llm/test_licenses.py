@@ -1,8 +1,10 @@
+import random
 import re
+from pathlib import Path
 
 import pytest
 
-from sparkvane.llm.licenses import PHRASES, Automaton, scan_licenses
+from sparkvane.llm.licenses import NEGATIONS, PHRASES, TEMPLATES, Automaton, scan_licenses, whole_text
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -60,3 +62,93 @@ def test_query_against_brute_force(spark):
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     assert sorted(repr((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in got) == sorted(repr((i, *brute(t))) for i, t in texts)
     assert sum(r.n_base for r in got) > 5
+
+
+MARK = re.compile(r'(\[\[)|(\]\])|<<var;match="([^"]*)";max=([0-9]+)>>|([^\s\[\]<>]+)')
+
+
+def pattern(markup):
+    """The markup as a regular expression over words with a space after each."""
+    out = ""
+    for begin, end, match, most, text in MARK.findall(markup):
+        out += "(?:" if begin else ")?" if end else f"(?:(?=(?:{match}) )[^ ]+ ){{0,{most}}}" if most else "".join(f"{w} " for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower()))
+    return re.compile(out)
+
+
+def labels_by_patterns(text, templates=TEMPLATES):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    found = set()
+    for label, markup in templates:
+        compiled = pattern(markup)
+        for i in range(len(words)):
+            if not NEGATIONS.intersection(words[max(0, i - 3) : i]) and compiled.match("".join(f"{w} " for w in words[i : i + 2000])):
+                found.add(label)
+                break
+    return found
+
+
+def filled(markup, r, optional=0.5):
+    """A text that the markup allows."""
+    out, hidden = [], []
+    for begin, end, match, most, text in MARK.findall(markup):
+        if begin:
+            hidden.append(r.random() < optional or any(hidden))
+        elif end:
+            hidden.pop()
+        elif not any(hidden):
+            out += [r.choice(["2020", "2021"]) if "[0-9]{4}" in match else "4" if "[0-9]" in match else r.choice("Jane Doe and others GmbH".split()) for _ in range(r.randint(0, int(most)))] if most else [r.choice([text, text.upper()])]
+    return "".join(w + r.choice([" ", "\n", ", "]) for w in out)
+
+
+def test_labels_against_patterns(docs):
+    r = random.Random(3)
+    rows, whole = [], []
+    for i in range(160):
+        label, markup = r.choice(TEMPLATES)
+        text = filled(markup, r)
+        whole.append(label)
+        kind = i % 4
+        if kind == 1:  # a word of it is changed
+            words = text.split()
+            words[r.randrange(len(words))] = "tampered"
+            text = " ".join(words)
+        elif kind == 2:
+            text = r.choice(["this is not ", "it was never ", "nor is it ", "no longer "]) + text
+        elif kind == 3:
+            text = f"some words here {text} and then {filled(r.choice(TEMPLATES)[1], r)}"
+        rows.append((i, text))
+    got = {x.doc_id: x for x in scan_licenses(docs(rows), ()).collect()}
+    for i, text in rows:
+        want = labels_by_patterns(text)
+        assert got[i].labels == ",".join(sorted(want)) and got[i].score == (1.0 if want else 0.0)
+        if i % 4 in (0, 3):
+            assert whole[i] in want
+    assert len({got[i].labels for i, _ in rows}) > 15
+
+
+def test_no_license_is_told_by_its_beginning(docs):
+    rows = [
+        (1, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: you pay us."),
+        (2, "This is not licensed under the MIT license"), (3, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction."),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(docs(rows)).collect()}
+    assert got == {1: ("", 0.0), 2: ("mit", 0.5), 3: ("", 0.0)}
+
+
+def test_whole_texts(docs):
+    folder = Path("/usr/share/common-licenses")
+    names = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "MPL-2.0", "CC0-1.0", "Artistic") if (folder / n).exists()]
+    if not names:
+        pytest.skip("no license texts here")
+    texts = {n: (folder / n).read_text(errors="replace") for n in names}
+    templates = tuple(whole_text(n, t) for n, t in texts.items())
+    rows = [(i, f"before\n{t}\nafter") for i, t in enumerate(texts.values())] + [(100 + i, t.replace(" the ", " a ", 1) if " the " in t else "x") for i, t in enumerate(texts.values())] + [(200 + i, t.upper()) for i, t in enumerate(texts.values())]
+    got = {r.doc_id: r.labels for r in scan_licenses(docs(rows), (), templates).collect()}
+    for i, n in enumerate(names):
+        assert n in got[i].split(",") and n not in got[100 + i].split(",") and n in got[200 + i].split(",")
+
+
+def test_other_lines_may_be_optional(docs):
+    template = whole_text("x", "Copyright 2001 Somebody\nFirst line here\nCopyright (c) 2002 Them\nlast line")
+    rows = [(1, "copyright 1999 Other People first line here (c) me last line"), (2, "first line here last line"), (3, "first line last line")]
+    assert {r.doc_id: r.labels for r in scan_licenses(docs(rows), (), (template,)).collect()} == {1: "x", 2: "x", 3: ""}

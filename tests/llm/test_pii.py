@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkvane.llm.pii import all_spans, base_spans, find_personal_data, fit, joined, learn, luhn, mask, proposals, redact
+from sparkvane.llm.pii import LABELERS, all_spans, base_spans, estimate, find_personal_data, fit, joined, known, learn, luhn, mask, proposals, redact, signature, votes
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -64,7 +65,7 @@ def test_added_spans_leave_base_ones(spark, docs, clashing, odd):
 def test_labelers_reliability_is_learned():
     text = SECRETS + ' then secret: aaaaaaaa and token=aaaaaaa version "abcdefabcdef"'
     codes = [p[3] for p in proposals(text, [])]
-    model = learn({codes[0]: 500, codes[1]: 300, **{c: 40 for c in codes[2:]}})
+    model = learn({(codes[0], -1): 500, (codes[1], -1): 300, **{(c, -1): 40 for c in codes[2:]}})
     assert set(codes[:2]) <= model.kept and codes[-1] not in model.kept
     assert 0 <= min(model.reliability.values()) and max(model.reliability.values()) <= 1
 
@@ -95,3 +96,63 @@ def test_long_secrets_are_masked_whole(docs):
     table = docs(plain + [(100 + i, t) for i, t in enumerate(texts)])
     got = {x.doc_id: x.text for x in redact(table, fit(table)).collect()}
     assert got[100] == "the [SECRET] is set" and hexa[64:] not in got[101] and end not in got[102] and "amqp" not in got[102]
+
+
+def planted(seed, n, right, speaks, share=0.4):
+    """Truth and votes of spans, by labelers that speak with one chance and are then right with another."""
+    r = np.random.default_rng(seed)
+    truth = r.random(n) < share
+    cast = np.where(r.random((n, len(right))) < right, 1, -1) * np.where(truth, 1, -1)[:, None]
+    return truth, np.where(r.random((n, len(right))) < speaks, cast, 0)
+
+
+def test_estimation_finds_planted_reliabilities():
+    right, speaks = np.array([0.95, 0.85, 0.75, 0.9, 0.6]), np.array([1.0, 0.8, 0.9, 0.5, 0.7])
+    truth, cast = planted(1, 20_000, right, speaks)
+    kinds, n = np.unique(cast, axis=0, return_counts=True)
+    found, table = estimate(kinds, n.astype(float), np.full(len(n), -1.0))
+    for j in range(5):
+        for y, v in ((0, -1), (1, 1)):
+            assert abs(table[y, j, v + 1] - right[j]) < 0.03
+    each = {tuple(k): f for k, f in zip(kinds.tolist(), found, strict=True)}
+    assert np.mean([(each[tuple(c)] >= 0.5) == t for c, t in zip(cast.tolist(), truth, strict=True)]) > 0.95
+
+
+def test_estimation_against_row_by_row():
+    """The same steps over each span alone, in plain sums; some truths are told."""
+    truth, cast = planted(2, 300, np.array([0.9, 0.7, 0.8]), np.array([0.9, 0.6, 1.0]))
+    told = [int(t) if i % 7 == 0 else -1 for i, t in enumerate(truth)]
+    guess = [t if t >= 0 else 1 / (1 + 4.0 ** -int(c.sum())) for t, c in zip(told, cast, strict=True)]
+    for _ in range(9):
+        asked = [g for g, t in zip(guess, told, strict=True) if t < 0]
+        prior = (sum(asked) + 1) / (len(asked) + 2)
+        chance = {}
+        for y in (0, 1):
+            for j in range(3):
+                sums = {v: sum(g if y else 1 - g for g, c in zip(guess, cast, strict=True) if c[j] == v) + (8 if v == (1 if y else -1) else 2) for v in (-1, 1)}
+                chance |= {(y, j, v): x / sum(sums.values()) for v, x in sums.items()} | {(y, j, 0): 1.0}
+        odds = [prior / (1 - prior) * np.prod([chance[1, j, v] / chance[0, j, v] for j, v in enumerate(c.tolist())]) for c in cast]
+        guess = [t if t >= 0 else o / (1 + o) for t, o in zip(told, odds, strict=True)]
+    keys, at, n = np.unique(np.column_stack([cast, told]), axis=0, return_inverse=True, return_counts=True)
+    found, _ = estimate(keys[:, :3], n.astype(float), keys[:, 3].astype(float), rounds=9)
+    assert np.allclose(found[at.ravel()], guess)
+
+
+def test_classifier_decides():
+    """It keeps spans on which no labeler speaks, where spans like them are right; and drops some with more votes for than against."""
+    code = lambda kind, chars, lead, cast: int(np.ravel_multi_index((kind, 1, chars, lead, *(v + 1 for v in cast)), (6, 4, 16, 4, 3, 3, 3, 3, 3)))
+    quiet, sure, doubt = code(5, 6, 1, (0, 0, 0, 0, 0)), code(5, 6, 1, (1, 1, 1, 1, 0)), code(3, 8, 3, (1, 0, 0, 0, 0))
+    counts = {(sure, -1): 500, (quiet, -1): 20, (doubt, -1): 30, (code(3, 8, 3, (1, -1, 0, 0, -1)), -1): 400, (code(3, 8, 3, (1, 0, 0, 0, 0)), 0): 300}
+    model = learn(counts)
+    assert quiet in model.kept and sure in model.kept and doubt not in model.kept
+
+
+def test_strict_patterns_teach():
+    text = "mail a@b.com from 10.0.0.1 not 300.1.1.1 card 4111 1111 1111 1111 or 4111 1111 1111 1112 call +1 (649) 555-6111 or +12 34"
+    assert sorted(t for _, t in known(text, base_spans(text))) == [0, 0, 0, 1, 1, 1, 1]
+    span = lambda x: (text.index(x), text.index(x) + len(x))
+    assert votes(text, *span("300.1.1.1"), 1, "300.1.1.1")[0] == -1 and votes(text, *span("a@b.com"), 0, "a@b.com")[:3] == (1, 1, 1)
+    address = "write to shape (at) example (dot) com"
+    assert [votes(address, s, e, k, address[s:e])[0] for s, k, e, _ in proposals(address, [])] == [1]
+    assert votes("that shape", 5, 10, 0, "shape")[0] == 0 and len(LABELERS) == 5
+    assert signature("x=abc", 2, 5, 5, "abc") != signature("x abc", 2, 5, 5, "abc")
