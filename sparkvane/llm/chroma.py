@@ -2,9 +2,9 @@
 
 A recording's spectrum is folded to twelve pitch classes a frame. Filters compare sums of
 rectangles of this image, read from an integral image; each gives two bits, and sixteen of
-them a packed 32-bit integer for each frame. Two recordings align where words of successive
-integers are equal: a histogram of offsets gives the best one, and bit errors over the whole overlap
-decide.
+them a packed 32-bit integer for each frame. Two recordings align at offsets where integers
+are equal or one bit apart: a histogram of offsets shows which have several, and bit errors over the
+whole overlap decide between them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, pick
@@ -93,48 +93,50 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return pick(media, "rec_id", "pcm").mapInArrow(run, "rec_id long, code binary")
 
 
-def _words(classes: DataFrame, length: int) -> DataFrame:
-    """class_id, at, word: words of `length` successive integers, the first of a run of equal ones."""
+def _words(classes: DataFrame) -> DataFrame:
+    """class_id, at, run, word: where a class's runs of equal integers begin, and how long they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, code in zip(batch["class_id"].to_pylist(), batch["code"].to_pylist(), strict=True):
-                one = np.frombuffer(code, "<u4").astype(np.uint64)
-                n = len(one) - length + 1
-                if n > 0:
-                    word = np.zeros(n, np.uint64)
-                    for k in range(length):
-                        word = (word ^ (word >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + one[k : k + n]
-                    at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), pa.array(at.astype(np.int32)), pa.array(word[at].view(np.int64))], names=["class_id", "at", "word"])
+            codes = [np.frombuffer(c, "<u4").astype(np.int64) for c in batch["code"].to_pylist()]
+            size = np.array([len(c) for c in codes])
+            word, owner = np.concatenate([*codes, np.zeros(0, np.int64)]), np.repeat(np.arange(len(codes)), size)
+            at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+            first = np.flatnonzero((at == 0) | np.append(True, word[1:] != word[:-1])[: len(word)])
+            length = np.diff(np.append(first, len(word)))
+            for k in range(0, len(first), 100_000):
+                some = first[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([batch["class_id"].take(pa.array(owner[some])), pa.array(at[some].astype(np.int32)), pa.array(length[k : k + 100_000].astype(np.int32)), pa.array(word[some])], names=["class_id", "at", "run", "word"])
 
-    return classes.select("class_id", "code").mapInArrow(run, "class_id long, at int, word long")
+    return classes.select("class_id", "code").mapInArrow(run, "class_id long, at int, run int, word long")
 
 
-def align(prints: DataFrame, every: int = 20, crowd: int = 1000, most_errors: float = 0.25, least: int = 16) -> DataFrame:
+def align(prints: DataFrame, every: int = 20, crowd: int = 1000, most_errors: float = 0.1, least: int = 16, votes: int = 2) -> DataFrame:
     """A row for each recording: its class, and for queries (rec_id divisible by `every`) how it aligns with others.
 
-    Recordings with equal fingerprints are one class, named by the smallest rec_id. A query's
-    class is aligned with each other class that shares a word of two integers; a word at more than
-    `crowd` places is dealt over so many more keys, which changes no result. The offset with most
-    equal words counts (ties: the smallest), and a link needs `least` integers of overlap and a share
-    of different bits of at most `most_errors`. n_links counts linked classes, best_id, best_offset and
+    Recordings with equal fingerprints are one class, named by the smallest rec_id. A query's integers, and those
+    one bit away, are looked up among those of all other classes; an integer at more than `crowd` places is dealt over
+    so many more keys, which changes no result. Runs of equal integers are aligned at their starts. Every offset with at least `votes` hits is verified: a link
+    needs `least` integers of overlap and a share of different bits of at most `most_errors`. With errors spread
+    evenly at this share, an integer is hit with chance 0.16, so that 48 of them have two hits in 99 of 100 cases. Of a
+    pair's offsets the one with least errors counts (ties: the smallest). n_links counts linked classes, best_id, best_offset and
     best_errors tell the one with least errors (ties: the smaller class); they are null without one, n_links for
     recordings that aren't queries. Null or short recordings have no integers and no links; rows
-    with a null rec_id are left out; repeated rows count once.
+    with a null rec_id are left out; repeated rows count once; an empty table gives no rows.
     """
     stage = Stage(prints.sparkSession, "chroma")
     own = stage.put(pick(prints, "rec_id", "code").where("rec_id is not null").dropDuplicates())
     classes = stage.put(own.groupBy("code").agg(F.min("rec_id").alias("class_id"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked")).where(F.length("code") > 0))
-    short = stage.put(_words(classes, 2))
-    common = stage.put(short.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("word", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
-    dealt = short.join(F.broadcast(common), "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    words = stage.put(_words(classes))
+    common = stage.put(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("word", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
+    dealt = words.join(common, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     found = stage.put(dealt.withColumn("part", F.pmod(F.xxhash64("class_id", "at"), F.col("parts")).cast("int")))
-    asked = found.join(classes.where("asked = 1").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("at").alias("q_at"), "word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    votes = asked.join(found, ["word", "part"]).where("query <> class_id").groupBy("query", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("query", "class_id").orderBy(F.desc("n"), "offset")
-    best = votes.withColumn("r", F.row_number().over(order)).where("r = 1").select("query", "class_id", "offset")
-    pairs = best.join(classes.select("class_id", F.col("code").alias("b")), "class_id").join(classes.selectExpr("class_id query", "code a"), "query")
+    asking = words.join(classes.where("asked = 1").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("at").alias("q_at"), F.col("run").alias("q_run"), "word")
+    near = F.concat(F.array("word"), *[F.array(F.col("word").bitwiseXOR(F.lit(1 << b))) for b in range(32)])
+    asked = asking.select("query", "q_at", "q_run", F.explode(near).alias("word")).join(common, "word", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    hits = asked.select("query", "q_at", "q_run", "word", "part").join(found.select("class_id", "at", "run", "word", "part"), ["word", "part"]).where("query <> class_id")
+    voted = hits.groupBy("query", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.sum(F.least("q_run", "run")).alias("n")).where(F.col("n") >= votes)
+    pairs = voted.join(classes.select("class_id", F.col("code").alias("b")), "class_id").join(classes.selectExpr("class_id query", "code a"), "query")
 
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +145,8 @@ def align(prints: DataFrame, every: int = 20, crowd: int = 1000, most_errors: fl
             share = pa.array([e / (32 * n) if n else 0.0 for e, n in got], pa.float64())
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (batch["query"], batch["class_id"], batch["offset"], share)], names=["query", "class_id", "offset", "errors"])
 
-    links = pairs.mapInArrow(errors, "query long, class_id long, offset int, errors double")
-    told = links.groupBy("query").agg(F.count("*").alias("n_links"), F.min(F.struct("errors", "class_id", "offset")).alias("best")).withColumnRenamed("query", "class_id")
+    links = pairs.mapInArrow(errors, "query long, class_id long, offset int, errors double").groupBy("query", "class_id").agg(F.min(F.struct("errors", "offset")).alias("at"))
+    told = links.groupBy("query").agg(F.count("*").alias("n_links"), F.min(F.struct("at.errors", "class_id", "at.offset")).alias("best")).withColumnRenamed("query", "class_id")
     named = stage.put(classes.select("code", "class_id").join(told, "class_id", "left"))
     stage.only(own, named)
     is_query = F.col("rec_id") % every == 0

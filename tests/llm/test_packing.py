@@ -110,3 +110,38 @@ def test_query_reads_all_documents(spark):
         used[p.sequence_id] = used.get(p.sequence_id, 0) + p.length
     padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in used.values())
     assert padding < 0.01 * sum(used.values())
+
+
+def cancelling(n):
+    """Two words of letters whose polynomial hashes modulo 2^64 are equal."""
+    a = "ab"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a[:n], a[:n].translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_differ_have_their_own_ids():
+    coder, plain = CachedTokenizer(PATH), Tokenizer.from_file(PATH)
+    texts = [t for n in (1024, 2048, 4096) for t in cancelling(n)]
+    ids, n = coder.ids(pa.array(texts), 2)
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_equal_hashes_are_told_by_bytes(monkeypatch):
+    """With a hash that says little, every batch is still right: within it, and against the cache."""
+    from sparkvane.llm import kernel
+
+    monkeypatch.setattr(kernel, "hash_spans", lambda data, start, end, family=0: (end - start).astype(np.uint64))
+    coder, plain = CachedTokenizer(PATH), Tokenizer.from_file(PATH)
+    for texts in (["one three", "a bb ccc"], ["two", "x yy zzz"], ["abc abd", ""], ["a", "b", "abc"]):
+        ids, _ = coder.ids(pa.array(texts), 2)
+        assert ids.tolist() == [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 2]]
+
+
+def test_tokenizers_that_cannot_be_split(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert CachedTokenizer(PATH).splits and not CachedTokenizer(path).splits
+    rows, plain = [(1, "Hello  world, again."), (2, None), (3, "É x")], Tokenizer.from_file(path)
+    got = {r.doc_id: np.frombuffer(r.token_ids, "<u4").tolist() for r in pack_documents(docs(rows), path).collect()}
+    assert got == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}

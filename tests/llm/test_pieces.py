@@ -119,3 +119,30 @@ def test_query_round_trips(spark):
         assert got[r.doc_id].round_trip
         if len(r.text) < 2500:
             assert got[r.doc_id].n_ids == len(brute(model, SPACE + r.text.replace(" ", SPACE)))
+
+
+def test_letters_that_cancel(docs):
+    """Words of two letters whose polynomial hashes modulo 2^64 are equal, and parts that one hash has, keep their ids."""
+    rows = []
+    for letters in ("ab", "eo", "st", "te"):
+        for n in (1024, 2048, 4096):
+            a = "ab"
+            while len(a) < n:
+                a += a.translate(str.maketrans("ab", "ba"))
+            rows += [(len(rows), a.translate(str.maketrans("ab", letters))), (len(rows) + 1, a.translate(str.maketrans("ab", letters[::-1])))]
+    assert all(r.round_trip for r in encode_pieces(docs(rows), PATH).collect())
+
+
+def test_equal_hashes_are_told_by_bytes(monkeypatch):
+    from sparkvane.llm import kernel
+
+    monkeypatch.setattr(kernel, "hash_spans", lambda data, start, end, family=0: (end - start).astype(np.uint64))
+    coder = Coder(Model.load(PATH))
+    for texts in (["one three"], ["two six"], ["abc abd", "", "xyz"]):
+        ids, n = coder.encode(texts)
+        assert [coder.decode(i) for i in np.split(ids, np.cumsum(n)[:-1])] == texts
+
+
+def test_ids_beyond_the_table(spark):
+    coded = spark.createDataFrame([(1, bytearray(np.array([10**6], "<u4").tobytes())), (2, bytearray(b"")), (3, bytearray(b"\x01\x02"))], "doc_id long, token_ids binary")
+    assert {r.doc_id: r.text for r in decode_pieces(coded, PATH).collect()} == {1: "�", 2: "", 3: ""}
