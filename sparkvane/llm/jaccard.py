@@ -309,7 +309,7 @@ def within(table: pa.Table, n: int, percent: int) -> tuple[np.ndarray, np.ndarra
     return found[:, 0], found[:, 1]
 
 
-def _open(stars: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int, cell_sets: int, cell_shingles: int, stage: Stage) -> DataFrame:
+def _open(stars: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int, cell_sets: int, cell_shingles: int, stage: Stage, broadcast_rows: int) -> DataFrame:
     """Cells (cell, node, root, asked) of bounded size in which every pair of nodes that may still be linked meets.
 
     Two linked nodes are in a cluster, a hub with its star. If they lie in different components, one of them isn't in
@@ -321,16 +321,16 @@ def _open(stars: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int, ce
     hubs = stars.select("hub").distinct().select("hub", F.col("hub").alias("node"), F.lit(0).cast("long").alias("apart"))
     rooted = stage.put(stars.select("hub", "node", "apart").union(hubs).join(roots, "node", "left").join(sizes, "node").select("hub", "node", F.coalesce("root", "node").alias("root"), "apart", "n"))
     of_hub = rooted.where("node = hub").select("hub", F.col("root").alias("own"))
-    placed = rooted.join(of_hub, "hub").withColumn("open", F.col("root") != F.col("own"))
+    placed = rooted.join(_sent(of_hub, broadcast_rows), "hub").withColumn("open", F.col("root") != F.col("own"))
     each = placed.groupBy("hub").agg(F.max(F.when(~F.col("open"), F.col("apart"))).alias("reach"), F.max("open").alias("mixed")).where("mixed")
-    placed = stage.put(placed.join(each.select("hub", "reach"), "hub").withColumn("far", F.col("open") & (F.col("apart") > F.col("reach") + most)))
+    placed = stage.put(placed.join(_sent(stage.put(each.select("hub", "reach")), broadcast_rows), "hub").withColumn("far", F.col("open") & (F.col("apart") > F.col("reach") + most)))
     blocks = lambda k, total: F.greatest(F.lit(1), F.ceil(F.col(k) * 2 / cell_sets), F.ceil(F.col(total) * 2 / cell_shingles)).cast("int")
     near, far = (F.col("open") & ~F.col("far")), F.col("far")
     counts = placed.groupBy("hub").agg(*(f(F.when(c, v)).alias(a) for a, c, f, v in (
         ("k", F.lit(True), F.count, F.lit(1)), ("total", F.lit(True), F.sum, F.col("n")), ("k_near", near, F.count, F.lit(1)), ("total_near", near, F.sum, F.col("n")), ("k_far", far, F.count, F.lit(1)), ("total_far", far, F.sum, F.col("n")),
     )))
     counts = stage.put(counts.na.fill(0).select("hub", blocks("k", "total").alias("all"), (F.col("k_near") > 0).cast("int").alias("any_near"), blocks("k_near", "total_near").alias("near_blocks"), (F.col("k_far") > 0).cast("int").alias("any_far"), blocks("k_far", "total_far").alias("far_blocks")))
-    dealt = placed.join(counts, "hub").withColumn("lot", F.abs(F.xxhash64("node") % 1_000_000_007))
+    dealt = placed.join(_sent(counts, broadcast_rows), "hub").withColumn("lot", F.abs(F.xxhash64("node") % 1_000_000_007))
     upto = lambda b: F.sequence(F.lit(0), F.col(b) - 1)
     own = lambda b: F.array((F.col("lot") % F.col(b)).cast("int"))
 
@@ -376,7 +376,7 @@ def _components(docs: DataFrame, n: int, percent: int, broadcast_rows: int, cell
     texts = stage.put(_texts(docs, members.select("node").distinct().join(nodes, "node"), n, family, broadcast_rows))
     stars = _starred(members, texts, n, percent, stage, broadcast_rows)
     roots = stage.put(connected_components(stars.where("linked").selectExpr("node a", "hub b"), stage))
-    cells = _open(stars, roots, sizes, percent, cell_sets, cell_shingles, stage)
+    cells = _open(stars, roots, sizes, percent, cell_sets, cell_shingles, stage, broadcast_rows)
     if not cells.isEmpty():
         found = stage.put(_settled(cells, texts, n, percent, broadcast_rows))
         roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))

@@ -130,7 +130,7 @@ def test_open_nodes_meet_all_that_they_may_be_linked_with(spark):
     stars = spark.createDataFrame([(k, k // 100 * 100, linked(k, k // 100 * 100), apart(k, k // 100 * 100)) for k in words if k % 100], "node long, hub long, linked boolean, apart long")
     stage = Stage(spark, "t")
     roots = stage.put(connected_components(stars.where("linked").selectExpr("node a", "hub b"), stage))
-    cells = _open(stars, roots, sizes, 90, 8, 10**6, stage)
+    cells = _open(stars, roots, sizes, 90, 8, 10**6, stage, 100)
     held = {}
     for r in cells.collect():
         held.setdefault(r.cell, []).append((r.node, r.asked))
