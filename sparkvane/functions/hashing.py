@@ -21,8 +21,18 @@ def _chars(text: Column) -> Column:
 
 
 def fnv32(text: Column) -> Column:
-    """32-bit hash over UTF-16 code units (exact for texts inside the basic plane)."""
-    return F.aggregate(_chars(text), F.lit(OFFSET_32).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(PRIME_32)).bitwiseAND(F.lit(MASK)))
+    """32-bit hash over UTF-16 code units: a character beyond the basic plane counts as its two surrogates."""
+
+    def unit(h: Column, x: Column) -> Column:
+        return (h.bitwiseXOR(x) * F.lit(PRIME_32)).bitwiseAND(F.lit(MASK))
+
+    def step(h: Column, c: Column) -> Column:
+        point = F.ascii(c).cast("long")
+        above = point - F.lit(0x10000)
+        pair = unit(unit(h, F.shiftright(above, 10) + F.lit(0xD800)), above.bitwiseAND(F.lit(0x3FF)) + F.lit(0xDC00))
+        return F.when(point < F.lit(0x10000), unit(h, point)).otherwise(pair)
+
+    return F.aggregate(_chars(text), F.lit(OFFSET_32).cast("long"), step)
 
 
 def fnv64(text: Column) -> Column:

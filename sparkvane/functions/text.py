@@ -40,7 +40,8 @@ def embed_slots(df: DataFrame, key: str, text: str, dimensions: int, fold: bool
 
     `fold` applies compatibility normalisation in an Arrow function; leave it out where texts are
     known not to change by it, and the plan has built-in functions alone. Texts without a word or
-    whose features cancel out have no rows.
+    whose features cancel out have no rows. Three-character parts are cut by code points here; `embed_text` cuts
+    them by UTF-16 code units, so that words with letters beyond the basic plane have other parts there.
     """
     if not 1 <= dimensions <= MAX_DIMENSIONS:
         raise ValueError(f"dimensions must be between 1 and {MAX_DIMENSIONS}")
@@ -74,6 +75,11 @@ def _units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
+def _code_units(word: str) -> str:
+    """The word with letters beyond the basic plane as their two surrogates."""
+    return word if word.isascii() or max(word) < "\U00010000" else "".join(map(chr, np.frombuffer(word.encode("utf-16-le"), "<u2").tolist()))
+
+
 def _hash_words(words: list[str]) -> np.ndarray:
     state = np.zeros(len(words), np.uint64)
     for bound in (8, LONG, None):
@@ -85,7 +91,7 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return state
 
 
-def embed_block(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+def embed_block(texts: list[str], dimensions: int, dtype: str = "f4") -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of texts, and which have one."""
     found = [_WORD.findall(unicodedata.normalize("NFKC", t.lower())) if t else [] for t in texts]
     doc = np.repeat(np.arange(len(texts)), [len(w) for w in found])
@@ -114,7 +120,8 @@ def embed_block(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarr
                 units, length = _units([distinct[i] for i in second[part]])
                 joint[part] = _steps(joint[part], units, length)
         add(doc[near], joint[pair])
-        parts = [[w[i : i + 3] for i in range(len(w) - 2)] for w in distinct]
+        spread = [_code_units(w) for w in distinct]
+        parts = [[w[i : i + 3] for i in range(len(w) - 2)] for w in spread]
         three, trigrams = pd.factorize(np.array([p for x in parts for p in x], object))
         if len(three):
             h = _hash_words([f"#{t}" for t in trigrams])[three]
@@ -125,13 +132,13 @@ def embed_block(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarr
             add(np.repeat(doc, many), h[index])
     out = grid.reshape(len(texts), dimensions)
     norm = np.sqrt((out * out).sum(1))
-    return (out / np.where(norm == 0, 1, norm)[:, None]).astype("f4"), norm > 0
+    return (out / np.where(norm == 0, 1, norm)[:, None]).astype(dtype), norm > 0
 
 
-def embed_text(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame:
-    """key, vector (array of floats) of each text that has one, by numpy over Arrow batches; no shuffle.
+def embed_text(df: DataFrame, key: str, text: str, dimensions: int, double: bool = False) -> DataFrame:
+    """key, vector (array of floats, or doubles) of each text that has one, by numpy over Arrow batches; no shuffle.
 
-    The values are those of embed_slots.
+    The values are those of embed_slots, but for words with letters beyond the basic plane.
     """
     if not 1 <= dimensions <= MAX_DIMENSIONS:
         raise ValueError(f"dimensions must be between 1 and {MAX_DIMENSIONS}")
@@ -141,9 +148,9 @@ def embed_text(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame
             rows = max(1, min(500, 4_000_000 // dimensions))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                body, ok = embed_block(part["text"].to_pylist(), dimensions)
+                body, ok = embed_block(part["text"].to_pylist(), dimensions, "f8" if double else "f4")
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(body) + 1, dtype="i4") * dimensions), pa.array(body.ravel()))
                 yield pa.RecordBatch.from_arrays([part["key"].filter(pa.array(ok)), vectors.filter(pa.array(ok))], names=[key, "vector"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, vector array<float>")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, vector array<{'double' if double else 'float'}>")

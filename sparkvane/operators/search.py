@@ -38,7 +38,7 @@ def top_k(records: DataFrame, query: list[float], dimensions: int, metric: str,
 def _block(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     """Distances queries x rows in doubles."""
     if metric == "l2":
-        return np.stack([((x - row) ** 2).sum(1) for row in q])
+        return np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :], 0.0)
     dots = q @ x.T
     if metric == "dot":
         return -dots
@@ -48,7 +48,7 @@ def _block(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1 - dots / norms
 
 
-def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10, cells: int | None = None, block_queries: int = 65_536, by: str | None = None, digits: int = 12) -> DataFrame:
+def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10, cells: int | None = None, block_queries: int = 65_536, by: str | None = None, digits: int = 12, cell_bytes: int = 64 << 20) -> DataFrame:
     """qid, rank, id, distance: the exact k nearest records of every query (qid, vector), ties by id.
 
     Records stay in cells and query blocks of bounded size come to each; a cell keeps k rows a
@@ -59,7 +59,9 @@ def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     spark = records.sparkSession
-    cells = cells or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not cells:  # enough for all cores, and so many that a cell holds about `cell_bytes`
+        n, width = records.agg(F.count("*"), F.max(F.size("vector"))).first()
+        cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * 8 * (width or 0) // cell_bytes))
     blocks = max(1, -(-queries.count() // block_queries))
     every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
     asked = queries.select("qid", F.col("vector").alias("v"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), (F.col(by) if by else every).alias("cell"))
@@ -74,6 +76,13 @@ def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10
         out = []
         for at in range(0, len(asked_), 256):
             d = np.round(_block(body, asked_[at : at + 256], metric), digits)
+            if d.shape[1] > 4 * k:  # the k-th distance and all that tie with it, then in order
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                for row, name in zip(np.where(d <= kth, d, np.inf), names[at : at + 256], strict=True):
+                    some = np.flatnonzero(row < np.inf)
+                    some = some[np.argsort(row[some], kind="stable")[:k]]
+                    out.append((np.full(len(some), name), ids[some], row[some]))
+                continue
             best = np.argsort(d, 1, kind="stable")[:, :k]
             out.append((np.repeat(names[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel()))
         return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["qid", "id", "distance"])

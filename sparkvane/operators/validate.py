@@ -27,12 +27,17 @@ def record_error(dimensions: int, metric: str, id_: str = "id", generation: str
     return error.when(~(squared_norm(v) > 0), "zero") if metric == "cosine" else error
 
 
+def members(payload: Column) -> Column:
+    """A payload's members with their types: a map of variants; null where it isn't the JSON text of an object."""
+    value = F.try_parse_json(payload)
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value.cast("map<string,variant>"))
+
+
 def payload_error(payload: Column) -> Column:
-    """Whether a payload (JSON text of an object) has an empty key or a value that isn't a scalar."""
-    entries = F.map_entries(F.from_json(payload, "map<string,string>"))
-    kinds = F.transform(F.json_object_keys(payload), lambda k: k)
-    nested = payload.rlike(r':\s*(\[|\{|null)')
-    return F.when(payload.isNull(), F.lit(None).cast("string")).when(entries.isNull(), "object").when(F.exists(kinds, lambda k: k == ""), "key").when(nested, "value")
+    """Whether a payload (JSON text of an object) has an empty key or a value that isn't a text, a number or a truth value."""
+    held = members(payload)
+    nested = F.exists(F.map_values(held), lambda v: v.isNull() | F.schema_of_variant(v).rlike("^(ARRAY|OBJECT|VOID)"))
+    return F.when(payload.isNull(), F.lit(None).cast("string")).when(held.isNull(), "object").when(F.array_contains(F.map_keys(held), ""), "key").when(nested, "value")
 
 
 def row_numbers(df: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:
@@ -69,13 +74,13 @@ def with_defaults(uploads: DataFrame, dimensions: int, now_millis: int) -> DataF
     """Records of uploads (ord, id, generation, text, vector, payload): missing parts are filled in.
 
     The id is now_millis * 1000 + ord, the generation 1, the vector the text's embedding, and a
-    non-empty text is the payload's `text`.
+    non-empty text is the payload's `text`. Other members of the payload keep their types.
     """
     texts = uploads.where("vector is null and text is not null").select("ord", "text")
     embedded = embed_text(texts, "ord", "text", dimensions).withColumnRenamed("vector", "embedded")
-    told = F.when(F.length(F.trim("text")) > 0, F.create_map(F.lit("text"), F.col("text"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    given = F.coalesce(F.from_json("payload", "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    plain = F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0, F.to_json(F.map_concat(told, F.map_filter(given, lambda k, _: k != "text")))).otherwise(F.col("payload"))
+    told = members(F.to_json(F.struct("text")))
+    given = F.coalesce(members(F.col("payload")), members(F.lit("{}")))
+    plain = F.when(F.length("text") > 0, F.to_json(F.map_concat(told, F.map_filter(given, lambda k, _: k != "text")))).otherwise(F.col("payload"))
     return uploads.join(embedded, "ord", "left").select(
         "ord", F.coalesce("id", F.lit(now_millis * 1000) + F.col("ord")).alias("id"), F.coalesce("generation", F.lit(1)).cast("long").alias("generation"),
         F.coalesce(F.col("vector").cast("array<float>"), "embedded").alias("vector"), plain.alias("payload"),

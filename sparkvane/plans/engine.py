@@ -2,14 +2,17 @@
 
 Each accepted batch is a folder of its own, written first and then published by naming
 it in the next version of the catalog. Readers see published batches only, so a failed job leaves
-nothing behind that counts. One writer at a time: a second one fails to publish.
+nothing behind that counts. A change is made to a copy of the state, which becomes the engine's own when it
+is published. A writer whose state is old fails to publish, reads the newest state and can try again.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +57,12 @@ class Store:
         out = self.fs.create(self.path(beside), True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.fs.exists(self.path(to)) or not self.fs.rename(self.path(beside), self.path(to)):
+        # old versions are dropped, so that a free place may still be an old one
+        if self.versions(name)[-1:] >= [to] or not self.fs.rename(self.path(beside), self.path(to)):
             self.drop(beside)
             raise Conflict(f"another writer has published version {version} of {name}")
+        if self.versions(name)[-1] != to:
+            raise Conflict(f"another writer has published beyond version {version} of {name}")
         for old in self.versions(name)[:-keep]:
             self.drop(old)
 
@@ -69,26 +75,42 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, shards: int = 3) -> None:
         self.spark, self.store, self.shards = spark, Store(spark, root), shards
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Reads the newest published state."""
         known = self.store.versions("catalog")
         self.state = json.loads(self.store.read(known[-1])) if known else {"version": 0, "collections": {}, "acks": {}, "committed": 0}
 
-    def _publish(self) -> None:
-        self.state["version"] += 1
-        self.store.publish("catalog", self.state["version"], json.dumps(self.state, sort_keys=True))
+    def _commit(self, change: Callable[[dict], object]) -> None:
+        """Changes a copy of the state and publishes it; if another writer was first, theirs becomes the state and Conflict is raised."""
+        state = copy.deepcopy(self.state)
+        change(state)
+        state["version"] += 1
+        try:
+            self.store.publish("catalog", state["version"], json.dumps(state, sort_keys=True))
+        except Conflict:
+            self.refresh()
+            raise
+        self.state = state
 
     def create(self, name: str, dimensions: int | None = None, metric: str = "cosine", hnsw_m: int | None = None, ef_construction: int | None = None) -> None:
         if collection_name(name) in self.state["collections"]:
             raise Conflict(f"collection {name} exists")
         if metric not in METRIC_CODES:
             raise ValueError(f"unknown metric {metric!r}")
-        self.state["collections"][name] = {"dimensions": bounded("dimensions", dimensions), "metric": metric, "hnsw_m": bounded("hnsw_m", hnsw_m), "ef_construction": bounded("ef_construction", ef_construction), "batches": [], "lsn": 0}
-        self._publish()
+        made = {"dimensions": bounded("dimensions", dimensions), "metric": metric, "hnsw_m": bounded("hnsw_m", hnsw_m), "ef_construction": bounded("ef_construction", ef_construction), "batches": [], "retired": [], "lsn": 0}
+        self._commit(lambda state: state["collections"].update({name: made}))
 
     def drop(self, name: str) -> None:
-        if self.state["collections"].pop(name, None) is None:
+        if name not in self.state["collections"]:
             raise NotFound(name)
-        self.state["acks"] = {k: v for k, v in self.state["acks"].items() if not k.startswith(f"{name}:")}
-        self._publish()
+
+        def change(state: dict) -> None:
+            del state["collections"][name]
+            state["acks"] = {k: v for k, v in state["acks"].items() if not k.startswith(f"{name}:")}
+
+        self._commit(change)
         self.store.drop(f"logs/{name}")
 
     def catalog(self) -> DataFrame:
@@ -116,9 +138,15 @@ class Collection:
 
     def __init__(self, engine: Engine, name: str) -> None:
         self.engine, self.spark, self.name = engine, engine.spark, name
-        self.meta = engine.state["collections"][name]
         self.dimensions, self.metric = self.meta["dimensions"], self.meta["metric"]
 
+    @property
+    def meta(self) -> dict:
+        """What the newest state that the engine knows says of the collection."""
+        if self.name not in self.engine.state["collections"]:
+            raise NotFound(self.name)
+        return self.engine.state["collections"][self.name]
+
     def log(self) -> DataFrame:
         paths = [f"{self.engine.store.root}/logs/{self.name}/{b}" for b in self.meta["batches"]]
         if not paths:
@@ -128,39 +156,65 @@ class Collection:
     def live(self) -> DataFrame:
         return live_view(self.log()).select("id", "generation", "vector", "payload", "shard", "lsn")
 
-    def _append(self, rows: DataFrame, op: int) -> int:
-        """Logs rows (ord, id, generation, vector, payload) with successive numbers; returns how many."""
+    def _append(self, rows: DataFrame, op: int, change: Callable[[dict, int], object]) -> int:
+        """Logs rows (ord, id, generation, vector, payload) with successive numbers and publishes them together with a change; returns how many."""
         n = rows.count()
         if not n:
             return 0
-        numbered = row_numbers(rows, F.floor(F.col("ord") / 250_000), ["ord"], "nth").select((F.col("nth") + self.meta["lsn"]).alias("lsn"), F.lit(op).alias("op"), "id", "generation", "vector", "payload", route_shard(F.col("id"), self.engine.shards).alias("shard"))
-        batch = f"batch={self.meta['lsn']}-{uuid.uuid4().hex[:8]}"
-        numbered.repartition("shard").write.partitionBy("shard").parquet(f"{self.engine.store.root}/logs/{self.name}/{batch}")
-        self.meta["batches"].append(batch)
-        self.meta["lsn"] += n
+        store, first = self.engine.store, self.meta["lsn"]
+        numbered = row_numbers(rows, F.floor(F.col("ord") / 250_000), ["ord"], "nth").select((F.col("nth") + first).alias("lsn"), F.lit(op).alias("op"), "id", "generation", "vector", "payload", route_shard(F.col("id"), self.engine.shards).alias("shard"))
+        batch = f"batch={first}-{uuid.uuid4().hex[:8]}"
+        # a shard's rows are written by a task for each 250,000 of the batch
+        numbered.repartition("shard", F.floor(F.col("lsn") / 250_000)).write.partitionBy("shard").parquet(f"{store.root}/logs/{self.name}/{batch}")
+
+        def publish(state: dict) -> None:
+            own = state["collections"][self.name]
+            own["batches"].append(batch)
+            own["lsn"] += n
+            change(state, n)
+
+        try:
+            self.engine._commit(publish)
+        except Conflict:
+            store.drop(f"logs/{self.name}/{batch}")
+            raise
         return n
 
     def upsert(self, batch: DataFrame, key: str | None = None) -> dict[str, object]:
         """Applies a whole batch (ord, id, generation, vector, payload) or, if one record is bad, none of it.
 
-        With an idempotency key, a repeat returns the first acknowledgement and applies nothing.
+        With an idempotency key, a repeat returns the first acknowledgement and applies nothing. The batch is
+        written aside once, so that what is checked is what is logged. When another writer was first, nothing is
+        applied or acknowledged, Conflict is raised, and the same call may be made again.
         """
         if key is not None and not key:
             raise ValueError("an idempotency key can't be empty")
         known = self.engine.state["acks"].get(f"{self.name}:{key}") if key is not None else None
         if known:
             return known
-        errors = batch_errors(batch, self.live().select("id", "generation"), self.dimensions, self.metric).orderBy("ord").take(5)
-        if errors:
-            told = "; ".join(f"record {e.ord} (id {e.id}): {e.error}" for e in errors)
-            raise StaleGeneration(told) if all(e.error == "stale" for e in errors) else ValueError(told)
-        n = self._append(batch, UPSERT)
-        self.engine.state["committed"] += n > 0
-        ack = {"committed_index": self.engine.state["committed"], "applied": n, "errors": []}
-        if key is not None:
-            self.engine.state["acks"][f"{self.name}:{key}"] = ack
-        self.engine._publish()
-        return ack
+        aside = f"staged/{uuid.uuid4().hex}"
+        try:
+            batch.select("ord", "id", "generation", "vector", "payload").write.parquet(f"{self.engine.store.root}/{aside}")
+            rows = self.spark.read.parquet(f"{self.engine.store.root}/{aside}")
+            errors = batch_errors(rows, self.live().select("id", "generation"), self.dimensions, self.metric).orderBy("ord").take(5)
+            if errors:
+                told = "; ".join(f"record {e.ord} (id {e.id}): {e.error}" for e in errors)
+                raise StaleGeneration(told) if all(e.error == "stale" for e in errors) else ValueError(told)
+            ack = {"committed_index": self.engine.state["committed"] + 1, "applied": 0, "errors": []}
+
+            def change(state: dict, n: int) -> None:
+                state["committed"] += 1
+                ack["applied"] = n
+                if key is not None:
+                    state["acks"][f"{self.name}:{key}"] = ack
+
+            if not self._append(rows, UPSERT, change):
+                ack["committed_index"] -= 1
+                if key is not None:
+                    self.engine._commit(lambda state: state["acks"].update({f"{self.name}:{key}": ack}))
+            return ack
+        finally:
+            self.engine.store.drop(aside)
 
     def upload(self, uploads: DataFrame, now_millis: int) -> DataFrame:
         """Fills in defaults and upserts all records as one batch; returns ord, id, sequence."""
@@ -170,34 +224,40 @@ class Collection:
 
     def delete(self, id_: int, generation: int) -> None:
         """Removes a record; the generation must be the stored one."""
-        stored = self.get(id_)
-        if stored is None:
+        status = self.delete_many([(id_, generation)])[0]
+        if status == "missing":
             raise NotFound(id_)
-        if stored.generation != generation:
-            raise StaleGeneration(f"record {id_} has generation {stored.generation}")
-        row = self.spark.createDataFrame([(0, id_, generation, None, None)], "ord int, id long, generation long, vector array<float>, payload string")
-        self._append(row, DELETE)
-        self.engine.state["committed"] += 1
-        self.engine._publish()
+        if status == "stale":
+            raise StaleGeneration(f"record {id_} has another generation than {generation}")
 
     def delete_many(self, pairs: list[tuple[int, int]]) -> list[str]:
-        """A status for each (id, generation): one that fails doesn't undo or stop the others."""
-        out = []
+        """A status for each (id, generation): one that fails doesn't undo or stop the others. They are one batch."""
+        wanted = self.spark.createDataFrame([(i,) for i, _ in pairs], "id long").distinct()
+        stored = {r.id: r.generation for r in self.live().join(F.broadcast(wanted), "id", "left_semi").select("id", "generation").collect()}  # as many as pairs at most
+        out, gone = [], []
         for id_, generation in pairs:
-            try:
-                self.delete(id_, generation)
-                out.append("deleted")
-            except NotFound:
-                out.append("missing")
-            except StaleGeneration:
-                out.append("stale")
+            out.append("missing" if id_ not in stored else "stale" if stored[id_] != generation else "deleted")
+            if out[-1] == "deleted":
+                gone.append((len(gone), id_, stored.pop(id_), None, None))
+        rows = self.spark.createDataFrame(gone, "ord int, id long, generation long, vector array<float>, payload string")
+        self._append(rows, DELETE, lambda state, n: state.update(committed=state["committed"] + n))
         return out
 
+    def delete_everywhere(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether any of the shards that were asked had something to delete."""
+        return any(s == "deleted" for s in self.delete_many(pairs))
+
     def get(self, id_: int):
         """The record of an id or None; only its shard's files are read."""
         shard = self.spark.range(1).select(route_shard(F.lit(id_), self.engine.shards)).first()[0]
         return live_view(self.log().where((F.col("shard") == shard) & (F.col("id") == id_))).first()
 
+    def search_shard(self, shard: int, vector: list[float], k: int | None = None) -> DataFrame:
+        """The k nearest live records of one shard, whose files alone are read."""
+        if not 0 <= shard < self.engine.shards:
+            raise ValueError(f"there are shards 0 to {self.engine.shards - 1}")
+        return top_k(live_view(self.log().where(F.col("shard") == shard)).select("id", "generation", "vector", "payload"), vector, self.dimensions, self.metric, k)
+
     def multi_get(self, ids: list[int]) -> DataFrame:
         return multi_get(self.spark, self.live(), ids)
 
@@ -224,13 +284,25 @@ class Collection:
         )
 
     def compact(self) -> None:
-        """Replaces all batches by one of the live records, with the numbers that they have."""
-        old, batch = self.meta["batches"], f"batch=live-{uuid.uuid4().hex[:8]}"
+        """Replaces all batches by one of the live records, with the numbers that they have.
+
+        The old ones stay until the next time, for readers of the version before.
+        """
+        batch, root = f"batch=live-{uuid.uuid4().hex[:8]}", f"{self.engine.store.root}/logs/{self.name}"
         rows = self.live().withColumn("op", F.lit(UPSERT)).select("lsn", "op", "id", "generation", "vector", "payload", "shard")
-        rows.repartition("shard").write.partitionBy("shard").parquet(f"{self.engine.store.root}/logs/{self.name}/{batch}")
-        self.meta["batches"] = [batch]
-        self.engine._publish()
-        for b in old:
+        rows.repartition("shard", F.floor(F.col("lsn") / 250_000)).write.partitionBy("shard").parquet(f"{root}/{batch}")
+        retired = self.meta.get("retired", [])
+
+        def change(state: dict) -> None:
+            own = state["collections"][self.name]
+            own["retired"], own["batches"] = own["batches"], [batch]
+
+        try:
+            self.engine._commit(change)
+        except Conflict:
+            self.engine.store.drop(f"logs/{self.name}/{batch}")
+            raise
+        for b in retired:
             self.engine.store.drop(f"logs/{self.name}/{b}")
 
 

@@ -122,3 +122,29 @@ def test_formats(spark):
     assert [None if g is None else int(g) for g in got] == [1, None, None, 2**64 - 1, None, None, None, 7, None]
     names = spark.createDataFrame([("a-B_9",), ("",), ("a b",), ("x" * 129,), (None,)], "t string").select(formats.valid_name(F.col("t"))).collect()
     assert [r[0] for r in names] == [True, False, False, False, False]
+
+
+def test_hash_counts_code_units(spark):
+    """A letter beyond the basic plane is two surrogates, in the column, in the kernel and in plain arithmetic."""
+    import numpy as np
+
+    from sparkvane.functions import text as text_
+    from sparkvane.functions.hashing import fnv32
+
+    def plain(word):
+        h = 2166136261
+        for unit in np.frombuffer(word.encode("utf-16-le"), "<u2").tolist():
+            h = (h ^ unit) * 16777619 % 2**32
+        return h
+
+    words = ["a", "é", "日本", "𝒳y", "😀", "x𐐀z"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", fnv32(rows_col("w")).alias("h")).collect()
+    assert {r.w: r.h for r in rows} == {w: plain(w) for w in words}
+    assert text_._hash_words(words).tolist() == [plain(w) for w in words]
+    assert text_._code_units("𐐀z") == "𐐀z" and text_._code_units("日本") == "日本"
+
+
+def rows_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)

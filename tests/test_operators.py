@@ -206,3 +206,36 @@ def test_percentiles_and_gate(spark):
     assert (got["s"].p50, got["s"].p95, got["s"].p99, got["s"].max_millis) == (50, 95, 99, 100) and got["e"].p99 == 0
     assert evaluate.sample_size(50, 3000) == 50 and evaluate.sample_size(500, 3000) == 100 and evaluate.sample_size(500, 300) == 300
     assert all(evaluate.gate({"recall": 1, "vectors_per_second": 2000, "p99_millis": 8, "errors": 0}).values())
+
+
+def test_payload_values_are_told_by_type(spark):
+    rows = ['{"a":"see: [1]"}', '{"a":"x: null"}', '{"a":": {"}', '{"a":null}', '{"a":{"b":1}}', '{"a":[1]}', '[1]', "7", "no json", '{"":1}', '{}', '{"a":1,"b":true,"c":2.5,"d":"x"}']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(rows)], "i int, p string")
+    got = [r[0] for r in df.orderBy("i").select(validate.payload_error(df.p)).collect()]
+    assert got == [None, None, None, "value", "value", "value", "object", "object", "object", "key", None, None]
+
+
+def test_batch_search_in_small_cells_with_ties(spark):
+    import numpy as np
+
+    from sparkvane.operators.search import batch_top_k
+
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    asked = df.where("id % 10 = 0").selectExpr("id qid", "vector")
+    for metric in ("l2", "dot"):
+        for cell_bytes in (64 << 20, 500):
+            got = sorted((x.qid, x.rank, x.id) for x in batch_top_k(asked, df, metric, 7, cell_bytes=cell_bytes).collect())
+            far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b)) if metric == "l2" else -sum(p * q for p, q in zip(a, b))  # noqa: E731, B023
+            want = [(q, k + 1, i) for q, v in rows if q % 10 == 0 for k, (_, i) in enumerate(sorted((far(v, w), i) for i, w in rows)[:7])]
+            assert got == sorted(want)
+
+
+def test_stress_measures_each_search(spark, tmp_path):
+    from sparkvane.operators.evaluate import gate, stress
+    from sparkvane.plans.engine import Engine
+
+    got = stress(Engine(spark, str(tmp_path / "e")), 16, vectors=100, queries=20, timed=6, concurrency=2)
+    assert got["timed"] == 6 and got["errors"] == 0 and 0 < got["p50_millis"] <= got["p95_millis"] <= got["p99_millis"] and got["recall"] == 1.0
+    assert gate(got)["p99"] == (got["p99_millis"] <= 8.0)
