@@ -40,6 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own where it is unset and Spark is local."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or tempfile.mkdtemp(prefix="sparkvane-")).rstrip("/")
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select((F.col("vec_id") + 1).alias("id"), F.lit(1).cast("long").alias("generation"), F.col("embedding").alias("vector"), F.col("label"))
@@ -473,7 +481,7 @@ def engine_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection's whole life: create, upsert, replace, delete, list; what is live at the end."""
     from ..plans.engine import Engine
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkvane-engine-")
+    root = shared_folder(spark)
     engine = Engine(spark, f"{root}/engine-{uuid.uuid4().hex}")
     engine.create("vectors", 64, "cosine")
     own = engine.collection("vectors")
@@ -494,7 +502,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.engine import Engine
     from ..streaming.ingest import REQUEST, ingest
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkvane-stream-")
+    root = shared_folder(spark)
     root = f"{root}/stream-{uuid.uuid4().hex}"
     e, request = table(spark, sf_dir, "embeddings"), F.floor(F.col("vec_id") / 1000)
     rows = e.select(F.lit("vectors").alias("collection"), F.concat(F.lit("k"), request.cast("string")).alias("idempotency_key"), request.alias("sequence"), F.col("vec_id").cast("int").alias("ord"), (F.col("vec_id") + 1).alias("id"), F.lit(1).cast("long").alias("generation"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("payload"))
@@ -594,6 +602,6 @@ def stress_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stress run in a collection of its own; which gates it passes."""
     from ..plans.engine import Engine
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkvane-stress-")
+    root = shared_folder(spark)
     got = evaluate.stress(Engine(spark, f"{root}/stress-{uuid.uuid4().hex}"), 64, vectors=1000, queries=200)
     return spark.createDataFrame([(k, bool(v)) for k, v in evaluate.gate(got).items()], "gate string, passed boolean")
