@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, pick
+from .kernel import span_places
 
 RATE, FRAME, HOP = 4000, 512, 256
 WIDTH = 16
@@ -93,30 +95,54 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return pick(media, "rec_id", "pcm").mapInArrow(run, "rec_id long, code binary")
 
 
-def _words(classes: DataFrame) -> DataFrame:
-    """class_id, at, run, word: where a class's runs of equal integers begin, and how long they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [np.frombuffer(c, "<u4").astype(np.int64) for c in batch["code"].to_pylist()]
-            size = np.array([len(c) for c in codes])
-            word, owner = np.concatenate([*codes, np.zeros(0, np.int64)]), np.repeat(np.arange(len(codes)), size)
-            at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-            first = np.flatnonzero((at == 0) | np.append(True, word[1:] != word[:-1])[: len(word)])
-            length = np.diff(np.append(first, len(word)))
-            for k in range(0, len(first), 100_000):
-                some = first[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([batch["class_id"].take(pa.array(owner[some])), pa.array(at[some].astype(np.int32)), pa.array(length[k : k + 100_000].astype(np.int32)), pa.array(word[some])], names=["class_id", "at", "run", "word"])
-
-    return classes.select("class_id", "code").mapInArrow(run, "class_id long, at int, run int, word long")
-
-
-def align(prints: DataFrame, every: int = 20, crowd: int = 1000, most_errors: float = 0.1, least: int = 16, votes: int = 2) -> DataFrame:
+def _runs(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of equal integers begin: the integer, its recording, its place and the run's length."""
+    each = [np.frombuffer(c, "<u4") for c in codes]
+    size = np.array([len(c) for c in each], np.int64)
+    word, owner = np.concatenate([*each, np.zeros(0, np.uint32)]), np.repeat(np.arange(len(each)), size)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    first = np.flatnonzero((at == 0) | np.append(True, word[1:] != word[:-1])[: len(word)])
+    return word[first], owner[first], at[first], np.diff(np.append(first, len(word)))
+
+
+class Lookup:
+    """Queries' integers and those one bit away, in order."""
+
+    def __init__(self, names: list[int], codes: list[bytes]) -> None:
+        self.names, self.codes = np.array(names, np.int64), [np.frombuffer(c, "<u4") for c in codes]
+        word, self.owner, self.at, self.run = _runs(codes)
+        near = np.concatenate([word, *(word ^ np.uint32(1 << b) for b in range(32))])
+        order = np.argsort(near, kind="stable")
+        self.word, self.place = near[order], (order % max(len(word), 1)).astype(np.int32)
+
+    def aligned(self, names: list[int], codes: list[bytes], votes: int, least: int, most_errors: float) -> list[tuple[int, int, int, float]]:
+        """(query, class, offset, errors) of linked pairs: the histogram of offsets tells which are verified."""
+        word, owner, at, run = _runs(codes)
+        low = np.searchsorted(self.word, word)
+        count = np.searchsorted(self.word, word, "right") - low
+        hit = self.place[span_places(low, count)]
+        owner, at, run = (np.repeat(x, count) for x in (owner, at, run))
+        other = self.names[self.owner[hit]] != np.array(names, np.int64)[owner]
+        hit, owner, at, run = hit[other], owner[other], at[other], run[other]
+        key = (self.owner[hit] * len(codes) + owner << 26) + (self.at[hit] - at + (1 << 25))
+        bins, where = np.unique(key, return_inverse=True)
+        bins = bins[np.bincount(where, np.minimum(self.run[hit], run), len(bins)) >= votes]
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for pair, offset in zip((bins >> 26).tolist(), ((bins & (1 << 26) - 1) - (1 << 25)).tolist(), strict=True):
+            q, c = divmod(pair, len(codes))
+            e, n = bit_errors(self.codes[q], np.frombuffer(codes[c], "<u4"), offset)
+            if n >= least and e <= most_errors * 32 * n:
+                best[q, c] = min(best.get((q, c), (2.0, 0)), (e / (32 * n), offset))
+        return [(int(self.names[q]), names[c], offset, e) for (q, c), (e, offset) in best.items()]
+
+
+def align(prints: DataFrame, every: int = 20, most_errors: float = 0.1, least: int = 16, votes: int = 2, block_bytes: int = 512 << 10) -> DataFrame:
     """A row for each recording: its class, and for queries (rec_id divisible by `every`) how it aligns with others.
 
-    Recordings with equal fingerprints are one class, named by the smallest rec_id. A query's integers, and those
-    one bit away, are looked up among those of all other classes; an integer at more than `crowd` places is dealt over
-    so many more keys, which changes no result. Runs of equal integers are aligned at their starts. Every offset with at least `votes` hits is verified: a link
+    Recordings with equal fingerprints are one class, named by the smallest rec_id. Blocks of about `block_bytes` of queries
+    are broadcast, one after another, and all classes are read against each: a class's integers are looked up among the
+    query's and those one bit away. Runs of equal integers are aligned at their starts. Every offset with at least `votes`
+    hits is verified: a link
     needs `least` integers of overlap and a share of different bits of at most `most_errors`. With errors spread
     evenly at this share, an integer is hit with chance 0.16, so that 48 of them have two hits in 99 of 100 cases. Of a
     pair's offsets the one with least errors counts (ties: the smallest). n_links counts linked classes, best_id, best_offset and
@@ -124,29 +150,28 @@ def align(prints: DataFrame, every: int = 20, crowd: int = 1000, most_errors: fl
     recordings that aren't queries. Null or short recordings have no integers and no links; rows
     with a null rec_id are left out; repeated rows count once; an empty table gives no rows.
     """
-    stage = Stage(prints.sparkSession, "chroma")
+    spark, stage = prints.sparkSession, Stage(prints.sparkSession, "chroma")
     own = stage.put(pick(prints, "rec_id", "code").where("rec_id is not null").dropDuplicates())
     classes = stage.put(own.groupBy("code").agg(F.min("rec_id").alias("class_id"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked")).where(F.length("code") > 0))
-    words = stage.put(_words(classes))
-    common = stage.put(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("word", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
-    dealt = words.join(common, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    found = stage.put(dealt.withColumn("part", F.pmod(F.xxhash64("class_id", "at"), F.col("parts")).cast("int")))
-    asking = words.join(classes.where("asked = 1").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("at").alias("q_at"), F.col("run").alias("q_run"), "word")
-    near = F.concat(F.array("word"), *[F.array(F.col("word").bitwiseXOR(F.lit(1 << b))) for b in range(32)])
-    asked = asking.select("query", "q_at", "q_run", F.explode(near).alias("word")).join(common, "word", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    hits = asked.select("query", "q_at", "q_run", "word", "part").join(found.select("class_id", "at", "run", "word", "part"), ["word", "part"]).where("query <> class_id")
-    voted = hits.groupBy("query", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.sum(F.least("q_run", "run")).alias("n")).where(F.col("n") >= votes)
-    pairs = voted.join(classes.select("class_id", F.col("code").alias("b")), "class_id").join(classes.selectExpr("class_id query", "code a"), "query")
-
-    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [bit_errors(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), o) for a, b, o in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["offset"].to_pylist(), strict=True)]
-            ok = pa.array([n >= least and e <= most_errors * 32 * n for e, n in got], pa.bool_())
-            share = pa.array([e / (32 * n) if n else 0.0 for e, n in got], pa.float64())
-            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (batch["query"], batch["class_id"], batch["offset"], share)], names=["query", "class_id", "offset", "errors"])
+    asked = classes.where("asked = 1").select("class_id", "code")
+    blocks = max(1, -(-(asked.agg(F.sum(F.length("code"))).first()[0] or 0) // block_bytes))
+
+    def against(block: int) -> DataFrame:
+        some = asked.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == block).collect()  # about block_bytes
+        shared = spark.sparkContext.broadcast(([r.class_id for r in some], [bytes(r.code) for r in some]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup = Lookup(*shared.value)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    got = lookup.aligned(part["class_id"].to_pylist(), part["code"].to_pylist(), votes, least, most_errors)
+                    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["query", "class_id", "offset", "errors"])
+
+        return stage.put(classes.select("class_id", "code").mapInArrow(run, "query long, class_id long, offset int, errors double"))
 
-    links = pairs.mapInArrow(errors, "query long, class_id long, offset int, errors double").groupBy("query", "class_id").agg(F.min(F.struct("errors", "offset")).alias("at"))
-    told = links.groupBy("query").agg(F.count("*").alias("n_links"), F.min(F.struct("at.errors", "class_id", "at.offset")).alias("best")).withColumnRenamed("query", "class_id")
+    links = reduce(DataFrame.union, [against(b) for b in range(blocks)])
+    told = links.groupBy("query").agg(F.count("*").alias("n_links"), F.min(F.struct("errors", "class_id", "offset")).alias("best")).withColumnRenamed("query", "class_id")
     named = stage.put(classes.select("code", "class_id").join(told, "class_id", "left"))
     stage.only(own, named)
     is_query = F.col("rec_id") % every == 0

@@ -72,12 +72,12 @@ def test_align_against_brute_force(spark):
     assert len(got) == len(want) and sum(bool(w[1]) for w in want.values()) >= 12
     code = {r.rec_id: r.code for r in prints.collect()}
     assert all(r.n_ints * 4 == len(code[r.rec_id]) and r.code_crc32 == zlib.crc32(code[r.rec_id]) for r in got)
-    assert told(align(prints, crowd=1)) == told(align(prints))
+    assert told(align(prints, block_bytes=400)) == told(align(prints))
     assert align(prints.limit(0)).count() == 0
 
 
 def test_crowded_words_count_too(spark):
-    """Recordings that share runs of few integers alone: the setting for frequent words changes nothing."""
+    """Recordings that share runs of few integers alone: the size of a block changes nothing."""
     r = np.random.default_rng(8)
     shared = [r.integers(0, 2**32, 3, dtype=np.uint32) for _ in range(4)]
     base, rows = r.integers(0, 2**32, 40, dtype=np.uint32), []
@@ -87,7 +87,7 @@ def test_crowded_words_count_too(spark):
             code[k * 10 + 2 : k * 10 + 5] = s
         rows.append((i, np.roll(code, 0)[i % 3 :].astype("<u4").tobytes()))
     prints = spark.createDataFrame([(i, bytearray(c)) for i, c in rows], "rec_id long, code binary")
-    got = [sorted(map(tuple, align(prints, crowd=c).collect())) for c in (1, 7, 1000)]
+    got = [sorted(map(tuple, align(prints, block_bytes=c).collect())) for c in (100, 400, 1 << 20)]
     assert got[0] == got[1] == got[2] and got[0][0][4] == 59
 
 
