@@ -155,8 +155,14 @@ def equal_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.
     a, b = (np.ndarray((len(x) + 1,), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), 0, (1,)) for x in (data, other))
     low = _LOW_BYTES[np.minimum(size, 8)]
     same[same] = (a[start[same]] & low[same]) == (b[from_[same]] & low[same])
-    for i in np.flatnonzero(same & (size > 8)).tolist():
-        same[i] = np.array_equal(data[start[i] : end[i]], other[from_[i] : to[i]])
+    long = np.flatnonzero(same & (size > 8))
+    if len(long):  # lane by lane
+        more = (size[long] + 7) // 8 - 1
+        upto = np.cumsum(more)
+        step = 8 * (np.arange(1, upto[-1] + 1) - np.repeat(upto - more, more))
+        left = _LOW_BYTES[np.minimum(np.repeat(size[long], more) - step, 8)]
+        equal = (a[np.repeat(start[long], more) + step] & left) == (b[np.repeat(from_[long], more) + step] & left)
+        same[long] = np.logical_and.reduceat(equal, upto - more)
     return same
 
 
