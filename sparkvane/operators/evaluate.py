@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import seeded_vectors
+from ..functions.hashing import MASK, OFFSET_32, PRIME_32
 from ..limits import bounded
 from .search import batch_top_k
 from .search import top_k as near
@@ -51,18 +52,28 @@ def sample_size(queries: int, n: int) -> int:
     return min(queries, n, n if n <= 2000 else 100)
 
 
+def seed_of(job: str) -> int:
+    """The seed of a job's vectors: the 32-bit FNV-1a fold over the first UTF-16 unit of each character of its id."""
+    seed = OFFSET_32
+    for c in job:
+        unit = int.from_bytes(c.encode("utf-16-le", "surrogatepass")[:2], "little")
+        seed = (seed ^ unit) * PRIME_32 & MASK
+    return seed
+
+
 def gate(metrics: dict[str, float], recall: float = 0.95, ingest: float = 2000.0, p99: float = 8.0) -> dict[str, bool]:
     """What a run must reach: recall, records a second, milliseconds at the 99th percentile, no errors."""
     return {"recall": metrics["recall"] >= recall, "ingest": metrics["vectors_per_second"] >= ingest, "p99": metrics["p99_millis"] <= p99, "errors": metrics["errors"] == 0}
 
 
-def stress(engine, dimensions: int = 64, metric: str = "cosine", vectors: int | None = None, queries: int | None = None, top_k: int | None = None, seed: int = 1, timed: int = 32, concurrency: int = 8) -> dict[str, float]:
+def stress(engine, dimensions: int = 64, metric: str = "cosine", vectors: int | None = None, queries: int | None = None, top_k: int | None = None, seed: int = 1, timed: int = 32, concurrency: int = 8, job: str | None = None) -> dict[str, float]:
     """Loads a collection of its own with clustered vectors, searches stored ones in one job, and drops it.
 
     Recall compares the search (float distances of the log's records) with the ground truth over the generated ones.
     queries_per_second is that of one job for all queries. Latencies are those of `timed` searches made one by one, each a job
-    of its own, by `concurrency` callers at a time; errors are those that failed.
+    of its own, by `concurrency` callers at a time; errors are those that failed. A job's id, if given, is the seed.
     """
+    seed = seed if job is None else seed_of(job)
     n, asked, k = bounded("vectors", vectors), bounded("queries", queries), bounded("top_k", top_k)
     name = f"stress_{uuid.uuid4().hex}"
     engine.create(name, dimensions, metric)

@@ -21,7 +21,7 @@ from ..functions.hashing import route_shard
 from ..limits import Conflict, NotFound, StaleGeneration, bounded, collection_name
 from ..operators.filters import Filter
 from ..operators.search import batch_top_k, multi_get, text_top_k, top_k
-from ..operators.validate import batch_errors, chunked, row_numbers, with_defaults
+from ..operators.validate import batch_errors, chunked, record_error, row_numbers, with_defaults
 from ..schema import CATALOG, DELETE, LOG, METRIC_CODES, UPSERT
 from ..sources.live import live_view
 
@@ -216,6 +216,66 @@ class Collection:
         finally:
             self.engine.store.drop(aside)
 
+    def upsert_many(self, requests: DataFrame) -> list[dict[str, object]]:
+        """Applies requests (idempotency_key, sequence, ord, id, generation, vector, payload), each whole or not at all, in one commit.
+
+        The result is that of `upsert` for one key after the other in order of sequence (ties by key): a list of
+        idempotency_key, sequence, committed_index, applied, errors. All records are validated together. Of requests that
+        are stale only by one another the first is left out, as later ones may have failed because of it; each such
+        round is a job over the staged rows. Only a row for each request comes to the driver.
+        """
+        aside, root = f"staged/{uuid.uuid4().hex}", self.engine.store.root
+        fields = ["ord", "id", "generation", "vector", "payload"]
+        try:
+            requests.select("idempotency_key", "sequence", *fields).write.parquet(f"{root}/{aside}/rows")
+            rows = self.spark.read.parquet(f"{root}/{aside}/rows")
+            asked = rows.groupBy("idempotency_key").agg(F.min("sequence").alias("sequence"), F.count("*").alias("n")).orderBy("sequence", "idempotency_key").collect()
+            known = {k.idempotency_key: self.engine.state["acks"].get(f"{self.name}:{k.idempotency_key}") for k in asked}
+            wrong = {k.idempotency_key: "an idempotency key can't be empty" for k in asked if not k.idempotency_key}
+            fresh = [k for k in asked if not known[k.idempotency_key] and k.idempotency_key not in wrong]
+            turns = self.spark.createDataFrame([(k.idempotency_key, i) for i, k in enumerate(fresh)], "idempotency_key string, turn int")
+            of = dict(enumerate(fresh))
+            numbered = row_numbers(rows.join(turns, "idempotency_key"), F.col("turn"), ["ord"], "nth").withColumn("ord", F.col("nth") - 1)
+            numbered.select("turn", *fields).write.parquet(f"{root}/{aside}/turns")
+            todo, out = self.spark.read.parquet(f"{root}/{aside}/turns"), []
+            stored = self.live().select("id", "generation")
+            # what fails whatever the other requests do: a bad record, or one not newer than what is stored
+            old = F.when(F.col("generation") <= F.col("stored_generation"), "stale")
+            judged = todo.join(stored.withColumnRenamed("generation", "stored_generation"), "id", "left").withColumn("error", F.coalesce(record_error(self.dimensions, self.metric), old))
+            for t in judged.where("error is not null").groupBy("turn").agg(F.min_by(F.struct("id", "error"), "ord").alias("e")).collect():  # a row for each request at most
+                wrong[of[t.turn].idempotency_key] = f"record (id {t.e.id}): {t.e.error}"
+                out.append(t.turn)
+            while True:
+                kept = todo.where(~F.col("turn").isin(out)) if out else todo
+                stale = batch_errors(kept, stored, self.dimensions, self.metric).orderBy("ord").first()
+                if stale is None:
+                    break
+                turn = kept.where(F.col("ord") == stale.ord).first().turn
+                wrong[of[turn].idempotency_key] = f"record (id {stale.id}): {stale.error}"
+                out.append(turn)
+            base, made, acks = self.engine.state["committed"], 0, []
+            for k in asked:
+                key = k.idempotency_key
+                if key in wrong:
+                    ack = {"committed_index": base + made, "applied": 0, "errors": [wrong[key]]}
+                elif known[key]:
+                    ack = known[key]
+                else:
+                    made += 1
+                    ack = {"committed_index": base + made, "applied": k.n, "errors": []}
+                acks.append({"idempotency_key": key, "sequence": k.sequence, **ack})
+            new = {f"{self.name}:{a['idempotency_key']}": {x: a[x] for x in ("committed_index", "applied", "errors")} for a in acks if a["idempotency_key"] not in wrong and not known[a["idempotency_key"]]}
+
+            def change(state: dict, _: int) -> None:
+                state["committed"] += made
+                state["acks"].update(new)
+
+            if made:
+                self._append(kept.select(*fields), UPSERT, change)
+            return acks
+        finally:
+            self.engine.store.drop(aside)
+
     def upload(self, uploads: DataFrame, now_millis: int) -> DataFrame:
         """Fills in defaults and upserts all records as one batch; returns ord, id, sequence."""
         records = with_defaults(uploads, self.dimensions, now_millis)

@@ -6,6 +6,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -101,16 +102,24 @@ def frames(raw: bytes) -> Iterator[bytes]:
         at += 12 + size
 
 
+def _tables(entries: Iterator[bytes], rows: int = 4096):
+    """Entries as tables of at most `rows`, so that a long file isn't decoded at once."""
+    import pandas as pd
+
+    while held := [decode_entry(e) for e in islice(entries, rows)]:
+        yield pd.DataFrame(held, columns=["lsn", "op", "id", "generation", "vector", "payload"])
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """The log (lsn, op, id, generation, vector, payload) of all files at a path, a task for each file."""
+    """The log (lsn, op, id, generation, vector, payload) of all files at a path, a task for each file.
 
-    def decode(batches):
-        import pandas as pd
+    A file is read whole, so writers must close a file before Spark's bound of 2 GB.
+    """
 
+    def decode(batches):
         for batch in batches:
             for raw in batch["content"]:
-                rows = [decode_entry(f) for f in frames(bytes(raw))]
-                yield pd.DataFrame(rows, columns=["lsn", "op", "id", "generation", "vector", "payload"])
+                yield from _tables(frames(bytes(raw)))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, LOG)
 
@@ -132,10 +141,7 @@ def decode_frames(coded: DataFrame) -> DataFrame:
     """The log of single frames (column `frame`)."""
 
     def decode(batches):
-        import pandas as pd
-
         for batch in batches:
-            rows = [decode_entry(f) for raw in batch["frame"] for f in frames(bytes(raw))]
-            yield pd.DataFrame(rows, columns=["lsn", "op", "id", "generation", "vector", "payload"])
+            yield from _tables(f for raw in batch["frame"] for f in frames(bytes(raw)))
 
     return coded.select("frame").mapInPandas(decode, LOG)

@@ -9,32 +9,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..limits import NotFound
+from ..limits import Conflict, NotFound
 from ..plans.engine import Engine
 
 REQUEST = "collection string, idempotency_key string, sequence long, ord int, id long, generation long, vector array<float>, payload string"
 
 
+def _publish(engine: Engine, name: str, rows: DataFrame, tries: int = 5) -> list[dict[str, object]]:
+    """Acknowledgements of one collection's requests; another writer's commit in between makes it start anew."""
+    for left in reversed(range(tries)):
+        try:
+            return engine.collection(name).upsert_many(rows)
+        except NotFound as error:
+            keys = rows.groupBy("idempotency_key").agg(F.min("sequence").alias("sequence")).orderBy("sequence").collect()  # a row for each request
+            return [{"idempotency_key": k.idempotency_key, "sequence": k.sequence, "committed_index": engine.state["committed"], "applied": 0, "errors": [str(error)]} for k in keys]
+        except Conflict:
+            if not left:
+                raise
+    return []
+
+
 def ingest(requests: DataFrame, engine: Engine, checkpoint: str, acks: list[dict[str, object]] | None = None, once: bool = True) -> StreamingQuery:
     """Upserts a stream of request rows; a request is the rows of one (collection, key), applied whole or not at all.
 
     A request that fails is told in its acknowledgement and the stream goes on. A micro-batch that is run again after
-    a failure finds its keys acknowledged and applies nothing twice. Requests are taken in order of sequence.
+    a failure finds its keys acknowledged and applies nothing twice. Requests are taken in order of sequence, those of
+    a micro-batch and collection are published together.
     """
     done = acks if acks is not None else []
 
     def apply(batch: DataFrame, _: int) -> None:
         held = batch.persist()
         try:
-            keys = held.groupBy("collection", "idempotency_key").agg(F.min("sequence").alias("sequence")).orderBy("sequence").collect()  # a row for each request
-            for k in keys:
-                rows = held.where((F.col("collection") == k.collection) & (F.col("idempotency_key") == k.idempotency_key))
-                ack: dict[str, object] = {"collection": k.collection, "idempotency_key": k.idempotency_key, "sequence": k.sequence}
-                try:
-                    ack |= engine.collection(k.collection).upsert(rows.select("ord", "id", "generation", "vector", "payload"), k.idempotency_key)
-                except (ValueError, NotFound) as error:
-                    ack |= {"committed_index": engine.state["committed"], "applied": 0, "errors": [str(error)]}
-                done.append(ack)
+            names = [r.collection for r in held.select("collection").distinct().collect()]  # collections, not requests
+            told: list[dict[str, object]] = []
+            for name in names:
+                rows = held.where(F.col("collection").eqNullSafe(name)).drop("collection")
+                told += [{"collection": name, **ack} for ack in _publish(engine, name, rows)]
+            done.extend(sorted(told, key=lambda ack: ack["sequence"]))
         finally:
             held.unpersist()
 

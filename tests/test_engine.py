@@ -160,6 +160,33 @@ def test_stream_acknowledges_each_request(spark, engine, tmp_path):
     assert engine.collection("s").search([2.1, 3.1], k=1).first().id == 99
 
 
+def test_requests_of_a_batch_are_one_commit_and_as_if_in_turn(spark, engine):
+    """Held against one upsert after the other, with stale, bad, repeated and empty keys."""
+    engine.create("many", 2, "l2")
+    engine.create("single", 2, "l2")
+    data = {"a": [(1, 1), (2, 1)], "b": [(1, 1), (3, 1)], "c": [(3, 2)], "d": [(4, 1), (4, 1)], "e": [(4, 1), (4, 2)], "f": [(0, 1)], "g": [(9, 3)], "": [(8, 1)]}
+    flat = [(k, 10 * n, i, id_, g, [1.0, float(g)], None) for n, (k, rs) in enumerate(data.items()) for i, (id_, g) in enumerate(rs)]
+    requests = spark.createDataFrame(flat, "idempotency_key string, sequence long, ord int, id long, generation long, vector array<float>, payload string")
+    for name in ("many", "single"):
+        engine.collection(name).upsert(requests.where("idempotency_key = 'g'").withColumn("generation", F.lit(5).cast("long")), "before")
+    start, version = engine.state["committed"], engine.state["version"]
+    many = engine.collection("many")
+    acks = many.upsert_many(requests)
+    assert engine.state["version"] == version + 1 and len(many.meta["batches"]) == 2
+    want, single = [], engine.collection("single")
+    for key in data:
+        try:
+            want.append((key, single.upsert(requests.where(F.col("idempotency_key") == key), key)["applied"]))
+        except ValueError:
+            want.append((key, 0))
+    assert [(a["idempotency_key"], a["applied"]) for a in acks] == want == [("a", 2), ("b", 0), ("c", 1), ("d", 0), ("e", 2), ("f", 0), ("g", 0), ("", 0)]
+    assert [a["committed_index"] - start for a in acks] == [1, 1, 2, 2, 3, 3, 3, 3]
+    state = lambda c: sorted((r.id, r.generation) for r in c.live().collect())
+    assert state(many) == state(single) == [(1, 1), (2, 1), (3, 2), (4, 2), (9, 5)]
+    again = many.upsert_many(requests)
+    assert [a for a in again if a["applied"]] == [a for a in acks if a["applied"]] and state(many) == state(single)
+
+
 def _states(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
