@@ -357,6 +357,18 @@ def _settled(cells: DataFrame, texts: DataFrame, n: int, percent: int, broadcast
     return texts.join(_sent(cells, broadcast_rows), "node").select("cell", "node", "root", "asked", "text").groupBy("cell").applyInArrow(run, "a long, b long")
 
 
+def _with_least(rows: DataFrame, value, name: str) -> DataFrame:
+    """Rows (root, …) with the least value of their root's rows; no task gets all rows of a root.
+
+    Rows are dealt by root and a salt of their own; a root sends its result to the salts that it has.
+    """
+    salts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    parts = dealt.groupBy("root", "salt").agg(F.min(value).alias(name))
+    least = parts.groupBy("root").agg(F.min(name).alias(name), F.collect_list("salt").alias("salts")).select("root", F.explode("salts").alias("salt"), name)
+    return dealt.join(least, ["root", "salt"]).drop("salt")
+
+
 def _components(docs: DataFrame, n: int, percent: int, broadcast_rows: int, cell_sets: int, cell_shingles: int) -> DataFrame:
     """doc_id, text_key, n, root, component of each row, staged; root is the component's node, null for an empty set or a null doc_id."""
     stage = Stage(docs.sparkSession, "jaccard")
@@ -380,8 +392,8 @@ def _components(docs: DataFrame, n: int, percent: int, broadcast_rows: int, cell
     if not cells.isEmpty():
         found = stage.put(_settled(cells, texts, n, percent, broadcast_rows))
         roots = stage.put(connected_components(found.union(roots.selectExpr("node a", "root b")), stage))
-    best = roots.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component"))
-    labels = nodes.join(roots.join(best, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component", "doc_id").alias("component"))
+    best = _with_least(stage.put(roots.join(nodes, "node")), F.col("doc_id"), "component").drop("doc_id")
+    labels = nodes.join(best, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component", "doc_id").alias("component"))
     taking = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     told = table.where("sig is null").join(labels, "node", "left").select("doc_id", "text_key", "n", F.when(taking, F.col("root")).alias("root"), F.when(taking, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
     result = stage.put(told)
@@ -409,8 +421,7 @@ def keep_first(docs: DataFrame, n: int, percent: int, broadcast_rows: int = 300_
     with an empty or null text or a null doc_id take no part and stay. An empty table gives no rows.
     """
     told = _components(docs, n, percent, broadcast_rows, cell_sets, cell_shingles).where("root is not null")
-    kept = told.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    gone = told.join(kept, "root").where(F.struct("doc_id", "text_key") > F.col("first")).select("doc_id", "text_key").distinct()
+    gone = _with_least(told, F.struct("doc_id", "text_key"), "first").where(F.struct("doc_id", "text_key") > F.col("first")).select("doc_id", "text_key").distinct()
     marked = docs.withColumn("text_key", text_key())
     left = marked.join(gone, ["doc_id", "text_key"], "left_anti")
     repeated = told.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
