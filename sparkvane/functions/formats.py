@@ -12,11 +12,16 @@ def format_number(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def format_bytes(value: Column) -> Column:
-    """B, KiB, MiB or GiB; one digit after the point from KiB on."""
+UNITS = {"KiB": 1024, "MiB": 1024**2, "GiB": 1024**3}
+
+
+def format_bytes(value: Column, unit: str | None = None) -> Column:
+    """B, KiB, MiB or GiB by size; one digit after the point from KiB on. A given unit holds for all sizes, and its halves go to the even digit."""
     amount = value.cast("double")
-    sized = lambda power, unit: F.concat(F.format_string("%.1f", amount / float(1024**power)), F.lit(f" {unit}"))
-    return F.when(amount < 1024, F.concat(value.cast("long").cast("string"), F.lit(" B"))).when(amount < 1024**2, sized(1, "KiB")).when(amount < 1024**3, sized(2, "MiB")).otherwise(sized(3, "GiB"))
+    if unit is not None:
+        return F.concat(F.format_string("%.1f", F.bround(amount / float(UNITS[unit]), 1)), F.lit(f" {unit}"))
+    sized = lambda unit: F.concat(F.format_string("%.1f", amount / float(UNITS[unit])), F.lit(f" {unit}"))
+    return F.when(amount < 1024, F.concat(value.cast("long").cast("string"), F.lit(" B"))).when(amount < 1024**2, sized("KiB")).when(amount < 1024**3, sized("MiB")).otherwise(sized("GiB"))
 
 
 def positive_uint64(text: Column) -> Column:

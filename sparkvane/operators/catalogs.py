@@ -46,7 +46,8 @@ def recent_jobs(jobs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def fleet(shards: DataFrame) -> DataFrame:
-    return shards.agg(F.countDistinct("name").alias("collections"), F.sum("live_vectors").alias("vectors"), F.sum("resident_bytes").alias("bytes"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return shards.agg(F.countDistinct("name").alias("collections"), total("live_vectors").alias("vectors"), total("resident_bytes").alias("bytes"))
 
 
 def health(nodes: DataFrame, collections: int) -> DataFrame:

@@ -40,3 +40,14 @@ def test_stream_takes_the_whole_table(spark, duck):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 7, 4099, 5001])
+def test_fleet_totals_of_any_size(spark, duck, tmp_path, n):
+    """The SQL shows all sizes in KiB, halves to the even digit."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array([[1.0]] * n, pa.list_(pa.float32())), "label": pa.array([None if i == 2 else i % 3 for i in range(n)], pa.int32())}), tmp_path / "embeddings.parquet")
+    got = entry.queries()["fleet_totals"](spark, str(tmp_path)).select("collections", "vectors", "bytes", "shown").collect()
+    assert [tuple(r) for r in got] == duck.sql(entry.oracle_sql()["fleet_totals"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet'")).fetchall()
