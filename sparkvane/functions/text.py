@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import functools
 import unicodedata
 
 import numpy as np
@@ -54,25 +54,57 @@ def embed_slots(df: DataFrame, key: str, text: str, dimensions: int, fold: bool
     return weight.join(norm, key).select(key, "slot", (F.col("w") / F.col("norm")).alias("value"))
 
 
-_WORD = re.compile(r"[^\W_]+")
-LONG = 48
+PIECE = 1 << 16  # code units, or words, that are hashed at once
+FEW = 48  # so few rows are hashed one by one to their ends
+BLOCK_UNITS = 1 << 20  # texts are taken together up to about so many code units
+_OFFSET, _PRIME = np.uint32(OFFSET_32), np.uint32(PRIME_32)
 
 
-def _steps(state: np.ndarray, units: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash states after `length` units of each row."""
-    for k in range(units.shape[1]):
-        more = length > k
-        state = np.where(more, ((state ^ units[:, k]) * PRIME_32) & MASK, state)
-    return state
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code units of the basic plane are letters or numbers."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x10000)), bool, 0x10000)
 
 
-def _units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-16 code units of words, a row for each, and their numbers."""
-    raw = [np.frombuffer(w.encode("utf-16-le", "surrogatepass"), "<u2") for w in words]
-    length = np.array([len(r) for r in raw], np.int64)
-    out = np.zeros((len(raw), int(length.max(initial=0))), np.uint64)
-    out[np.arange(out.shape[1])[None, :] < length[:, None]] = np.concatenate(raw) if raw else []
-    return out, length
+def _word_units(units: np.ndarray) -> np.ndarray:
+    """Which UTF-16 code units belong to words; both surrogates of a letter beyond the basic plane do."""
+    inside = _letters()[units]
+    high = np.flatnonzero((units[:-1] & 0xFC00) == 0xD800)
+    high = high[(units[high + 1] & 0xFC00) == 0xDC00]
+    if len(high):
+        points = ((units[high].astype("i4") & 0x3FF) << 10) + (units[high + 1] & 0x3FF) + 0x10000
+        distinct, place = np.unique(points, return_inverse=True)
+        inside[high] = inside[high + 1] = np.array([chr(p).isalnum() for p in distinct.tolist()])[place]
+    return inside
+
+
+def _mix(state: np.ndarray, units: np.ndarray | int) -> np.ndarray:
+    return (state ^ units) * _PRIME
+
+
+def _steps(state: np.ndarray, units: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash states after the `length` units from `start` of each row."""
+    key = -length if length.max(initial=0) > 0xFFFF else (0xFFFF - length).astype("u2")  # of two bytes: a radix sort
+    order = np.argsort(key, kind="stable")
+    state, at, size = state[order], start[order], length[order]
+    more, k = np.searchsorted(-size, 0, "left"), 0
+    while more > FEW:
+        state[:more] = _mix(state[:more], units[at[:more] + k].astype(np.uint32))
+        k += 1
+        more = np.searchsorted(-size, -k, "left")
+    for row in range(more):  # what is left of a few long ones: numpy's calls would cost more than plain arithmetic
+        h = int(state[row])
+        for low in range(int(at[row]) + k, int(at[row] + size[row]), PIECE):
+            for unit in units[low : min(low + PIECE, int(at[row] + size[row]))].tolist():
+                h = ((h ^ unit) * PRIME_32) & MASK
+        state[row] = h
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def _units(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-16-le", "surrogatepass"), "<u2")
 
 
 def _code_units(word: str) -> str:
@@ -81,56 +113,58 @@ def _code_units(word: str) -> str:
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
-    state = np.zeros(len(words), np.uint64)
-    for bound in (8, LONG, None):
-        some = [i for i, w in enumerate(words) if (bound is None or len(w) <= bound) and (bound == 8 or len(w) > (8 if bound == LONG else LONG))]
-        for at in range(0, len(some), 4096 if bound else 16):
-            part = some[at : at + (4096 if bound else 16)]
-            units, length = _units([words[i] for i in part])
-            state[part] = _steps(np.full(len(part), OFFSET_32, np.uint64), units, length)
-    return state
+    length = np.array([len(_units([w])) for w in words], np.int64)
+    return _steps(np.full(len(words), _OFFSET), _units(words), np.cumsum(length) - length, length)
+
+
+def _add_features(grid: np.ndarray, texts: list[str]) -> None:
+    """Adds the signs of all features of folded texts to the rows of `grid`."""
+    dimensions = np.uint32(grid.shape[1])
+    flat = grid.reshape(-1)
+    size = np.array([len(t) if t.isascii() else len(_units([t])) for t in texts], np.int64)
+    units = _units([t + "\n" for t in texts])
+    end = np.cumsum(size + 1)
+    inside = _word_units(units)
+    edge = np.flatnonzero(np.diff(inside, prepend=False))  # the last unit isn't a word's: starts and ends alternate
+    start, length = edge[::2], edge[1::2] - edge[::2]
+
+    def add(doc: np.ndarray, h: np.ndarray) -> None:
+        low, high = int(doc[0]), int(doc[-1]) + 1  # places are in the order of texts
+        place = (doc - low) * int(dimensions) + (h % dimensions)
+        sign = 1.0 - 2.0 * (h >> np.uint32(31))
+        flat[low * int(dimensions) : high * int(dimensions)] += np.bincount(place, sign, (high - low) * int(dimensions))
+
+    last = None  # the state and text of the word before
+    for at in range(0, len(start), PIECE):
+        first, n = start[at : at + PIECE], length[at : at + PIECE]
+        doc = np.searchsorted(end, first, "right")
+        state = _steps(np.full(len(first), _OFFSET), units, first, n)
+        add(doc, state)
+        before = np.concatenate([[_OFFSET if last is None else last[0]], state[:-1]]).astype(np.uint32)
+        near = np.flatnonzero(doc == np.concatenate([[-1 if last is None else last[1]], doc[:-1]]))
+        last = state[-1], doc[-1]
+        if len(near):
+            add(doc[near], _steps(_mix(_mix(before[near], np.uint32(ord(":"))), np.uint32(ord(":"))), units, first[near], n[near]))
+    hashed = np.uint32(((OFFSET_32 ^ ord("#")) * PRIME_32) & MASK)
+    for at in range(0, len(units) - 2, PIECE):
+        here, word = units[at : at + PIECE + 2].astype(np.uint32), inside[at : at + PIECE + 2]
+        three = np.flatnonzero(word[:-2] & word[1:-1] & word[2:])
+        if len(three):
+            state = _mix(_mix(_mix(hashed, here[:-2]), here[1:-1]), here[2:])[three]
+            add(np.searchsorted(end, three + at, "right"), state)
 
 
 def embed_block(texts: list[str], dimensions: int, dtype: str = "f4") -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of texts, and which have one."""
-    found = [_WORD.findall(unicodedata.normalize("NFKC", t.lower())) if t else [] for t in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(w) for w in found])
-    code, distinct = pd.factorize(np.array([w for f in found for w in f], object))
-    distinct = list(distinct)
-    grid = np.zeros(len(texts) * dimensions)
-
-    def add(where: np.ndarray, h: np.ndarray) -> None:
-        sign = np.where(h >= 2**31, -1.0, 1.0)
-        grid[:] += np.bincount(where * dimensions + (h % dimensions).astype(np.int64), sign, len(grid))
-
-    if len(doc):
-        state = _hash_words(distinct)
-        add(doc, state[code])
-        near = np.flatnonzero(doc[1:] == doc[:-1])
-        pair, pairs = pd.factorize(code[near] * len(distinct) + code[near + 1])
-        joint = state[pairs // len(distinct)]
-        for c in (58, 58):
-            joint = ((joint ^ c) * PRIME_32) & MASK
-        second = pairs % len(distinct)
-        size = np.array([len(w) for w in distinct])[second]
-        for low, high in ((0, 8), (8, LONG), (LONG, 1 << 60)):
-            some = np.flatnonzero((size > low) & (size <= high))
-            for at in range(0, len(some), 4096 if high <= LONG else 16):
-                part = some[at : at + (4096 if high <= LONG else 16)]
-                units, length = _units([distinct[i] for i in second[part]])
-                joint[part] = _steps(joint[part], units, length)
-        add(doc[near], joint[pair])
-        spread = [_code_units(w) for w in distinct]
-        parts = [[w[i : i + 3] for i in range(len(w) - 2)] for w in spread]
-        three, trigrams = pd.factorize(np.array([p for x in parts for p in x], object))
-        if len(three):
-            h = _hash_words([f"#{t}" for t in trigrams])[three]
-            n = np.array([len(x) for x in parts])
-            first = np.cumsum(n) - n
-            many = n[code]
-            index = np.arange(many.sum()) + np.repeat(first[code] - (np.cumsum(many) - many), many)
-            add(np.repeat(doc, many), h[index])
-    out = grid.reshape(len(texts), dimensions)
+    out = np.zeros((len(texts), dimensions))
+    some, held = [], 0
+    for i, t in enumerate(texts):
+        t = (t or "").lower()
+        some.append(t if t.isascii() else unicodedata.normalize("NFKC", t))
+        held += len(t)
+        if held >= BLOCK_UNITS or i + 1 == len(texts):
+            _add_features(out[i + 1 - len(some) : i + 1], some)
+            some, held = [], 0
     norm = np.sqrt((out * out).sum(1))
     return (out / np.where(norm == 0, 1, norm)[:, None]).astype(dtype), norm > 0
 

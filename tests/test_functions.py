@@ -148,3 +148,28 @@ def rows_col(name):
     from pyspark.sql import functions as F
 
     return F.col(name)
+
+
+def test_embedding_equals_plain_arithmetic(monkeypatch):
+    """Words, pairs and parts of UTF-16 code units, wherever texts are cut into pieces; the parts of letters beyond the basic plane differ."""
+    import random
+    import re
+
+    from sparkvane.functions import text as text_
+
+    def plain(t, d):
+        words = [np.frombuffer(w.encode("utf-16-le"), "<u2").tolist() for w in re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", (t or "").lower()))]
+        out = np.zeros(d)
+        for f in words + [[*a, 58, 58, *b] for a, b in zip(words, words[1:], strict=False)] + [[35, *w[i : i + 3]] for w in words for i in range(len(w) - 2)]:
+            h = fnv(f, 2166136261, 16777619, 32)
+            out[h % d] += -1 if h >> 31 else 1
+        return out / (math.sqrt(out @ out) or 1)
+
+    r = random.Random(5)
+    letters = ["a", "b", "Z", "é", "ﬁ", "日", chr(0x10400), chr(0x1D4B3), chr(0x1F600), "_", " ", " ", ":", "\n", "\0", "İ", "Σ", "٣", "²", "e\u0301", "x" * 70]
+    texts = [None, "", "ab", "a" * 500 + " b", chr(0x10400) * 3] + ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(200)]
+    want = np.array([plain(t, 64) for t in texts])
+    for piece, few, block in ((1 << 16, 48, 1 << 20), (1, 2, 50), (7, 0, 300)):
+        monkeypatch.setattr(text_, "PIECE", piece), monkeypatch.setattr(text_, "FEW", few), monkeypatch.setattr(text_, "BLOCK_UNITS", block)
+        got, ok = text_.embed_block(texts, 64, "f8")
+        assert (got == want).all() and (ok == want.any(1)).all()
