@@ -239,3 +239,60 @@ def test_stress_measures_each_search(spark, tmp_path):
     got = stress(Engine(spark, str(tmp_path / "e")), 16, vectors=100, queries=20, timed=6, concurrency=2)
     assert got["timed"] == 6 and got["errors"] == 0 and 0 < got["p50_millis"] <= got["p95_millis"] <= got["p99_millis"] and got["recall"] == 1.0
     assert gate(got)["p99"] == (got["p99_millis"] <= 8.0)
+
+
+def test_batch_search_in_one_large_cell_is_bounded_in_memory(spark):
+    """131,072 rows in a cell: pairs are scored in tiles, not 256 queries against all rows at once (over 1 GB a worker)."""
+    import threading
+    import time
+
+    import psutil
+
+    peak, stop = [0], threading.Event()
+
+    def watch():
+        while not stop.is_set():
+            for c in psutil.Process().children(recursive=True):
+                try:
+                    peak[0] = max(peak[0], c.memory_info().rss if "python" in c.name() else 0)
+                except psutil.Error:
+                    pass
+            time.sleep(0.02)
+
+    rows = spark.range(131_072).select("id", F.array(*[F.randn(k) for k in range(8)]).alias("vector"))
+    threading.Thread(target=watch, daemon=True).start()
+    try:
+        assert search.batch_top_k(rows.where("id < 300").withColumnRenamed("id", "qid"), rows, "l2", 10, cells=1).where("rank = 1 and qid = id").count() == 300
+    finally:
+        stop.set()
+    assert 0 < peak[0] < 700 << 20
+
+
+@pytest.mark.parametrize("tile", [(4096, 256), (16, 5)])
+def test_nearest_rows_of_odd_tables(monkeypatch, tile):
+    """Copies, near copies, whole numbers, a small spread far from zero, values that aren't numbers: as by brute force."""
+    monkeypatch.setattr(search, "TILE_ROWS", tile[0]), monkeypatch.setattr(search, "TILE_QUERIES", tile[1])
+    r = np.random.default_rng(0)
+    x = r.normal(size=(300, 16)).astype("f4").astype(float)
+    x[50:150], x[200:250] = x[50], x[200] * (1 + 1e-9)
+    whole = r.integers(1, 4, (300, 3)).astype(float)
+    holes = x.copy()
+    holes[3, 1], holes[9, 2], holes[280] = np.nan, np.inf, np.nan
+    for metric in ("cosine", "l2", "dot"):
+        for body in (x, whole, x * 1e-3 + 1000, x[:4], *([holes, holes[:11]] if metric != "cosine" else [])):
+            for digits in (6, 12):
+                asked = body[::7]
+                with np.errstate(all="ignore"):
+                    got = search._nearest_rows(asked, body, metric, 5, digits)
+                    far = [np.round(search._exact(np.repeat(q[None], len(body), 0), body, metric), digits) for q in asked]
+                want = [(i, j, d[j]) for i, d in enumerate(far) for j in np.argsort(d, kind="stable")[:5]]
+                assert np.array_equal(np.column_stack(got), np.array(want), equal_nan=True)
+
+
+def test_grid_sends_few_copies():
+    for queries, records, width in ((615_000, 615_000, 64), (200, 3_000_000, 128), (30, 300, 4), (0, 5, 3), (5, 0, 0), (1, 1, 65_536)):
+        blocks, cells = search._grid(queries, records, width, 10, 200, 65_536, 64 << 20)
+        assert blocks >= 1 and cells >= 1 and records * width * 8 <= cells * (64 << 20) and queries * width * 8 <= blocks * (64 << 20)
+        assert blocks * cells >= min(200, queries * records)
+    blocks, cells = search._grid(615_000, 615_000, 64, 10, 200, 65_536, 64 << 20)
+    assert blocks + cells < 60  # 200 cells took 200 copies of each query before
