@@ -76,8 +76,8 @@ def _first_copies(x: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[(later < k) | mixed[group]])
 
 
-def _nearest_rows(q: np.ndarray, x: np.ndarray, metric: str, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query place, row place and distance of each query's k nearest rows; ties go to the row that comes first.
+def _nearest_rows(q: np.ndarray, x: np.ndarray, metric: str, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query place, row place, rounded distance and distance of each query's k nearest rows; ties of rounded ones go to the row that comes first.
 
     Tiles of pairs are screened by scores with a bound on their error; what may be among the k nearest gets its exact distance.
     Memory is that of both tables and of a tile.
@@ -97,7 +97,7 @@ def _nearest_rows(q: np.ndarray, x: np.ndarray, metric: str, k: int, digits: int
         size = np.sqrt(np.einsum("ij,ij->i", fq, fq, dtype=float))
         strange = ~np.isfinite(size + cq)
         fq[strange], cq[strange], size[strange] = 0, 0, 0
-        best = np.empty((0, 3))  # query, distance, row of what is kept, in this order
+        best = np.empty((0, 4))  # query, rounded distance, row, distance of what is kept, in this order
         worst = np.full(len(asked), np.inf)  # the k-th distance up to now
         for at in range(0, len(x), TILE_ROWS):
             part, minus = fx[at : at + TILE_ROWS], cx[at : at + TILE_ROWS]
@@ -122,15 +122,15 @@ def _nearest_rows(q: np.ndarray, x: np.ndarray, metric: str, k: int, digits: int
             if not len(i):
                 continue
             near = np.concatenate([_exact(asked[i[s : s + pairs]], x[at + j[s : s + pairs]], metric) for s in range(0, len(i), pairs)])
-            best = np.concatenate([best, np.column_stack([i, np.round(near, digits), at + j])])
+            best = np.concatenate([best, np.column_stack([i, np.round(near, digits), at + j, near])])
             best = best[np.lexsort((best[:, 2], best[:, 1], best[:, 0]))]
             count = np.bincount(best[:, 0].astype(int), minlength=len(asked))
             place = np.arange(len(best)) - np.repeat(np.cumsum(count) - count, count)
             worst[best[place == k - 1, 0].astype(int)] = np.nan_to_num(best[place == k - 1, 1], nan=np.inf)
             best = best[place < k]
-        out.append(best + np.array([top, 0, 0]))
-    found = np.concatenate(out) if out else np.empty((0, 3))
-    return found[:, 0].astype(int), rows[found[:, 2].astype(int)], found[:, 1]
+        out.append(best + np.array([top, 0, 0, 0]))
+    found = np.concatenate(out) if out else np.empty((0, 4))
+    return found[:, 0].astype(int), rows[found[:, 2].astype(int)], found[:, 1], found[:, 3]
 
 
 def _grid(queries: int, records: int, width: int, k: int, tasks: int, block_queries: int, cell_bytes: int) -> tuple[int, int]:
@@ -140,7 +140,7 @@ def _grid(queries: int, records: int, width: int, k: int, tasks: int, block_quer
     """
     row = 8 * max(1, width)
     few_blocks, few_cells = -(-queries // max(1, min(block_queries, cell_bytes // row))), -(-records * row // cell_bytes)
-    blocks = max(1, few_blocks, min(queries, round((tasks * queries * (row + 24 * k) / max(1, records * row)) ** 0.5)))
+    blocks = max(1, few_blocks, min(queries, round((tasks * queries * (row + 32 * k) / max(1, records * row)) ** 0.5)))
     cells = max(1, few_cells, min(records, -(-tasks // blocks)))
     return max(blocks, min(queries, -(-tasks // cells))), cells
 
@@ -150,8 +150,8 @@ def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10
 
     Blocks of queries meet cells of records, both of bounded size; a cell keeps k rows a
     query, so that what is merged doesn't grow with the records in it. Numpy works on whole Arrow batches.
-    With `by`, a column of both tables says which cells meet. Distances are rounded to `digits` places, so
-    that equal vectors tie. `shape` is the records' number and dimension, where both are known (more will do):
+    With `by`, a column of both tables says which cells meet. The order is that of distances rounded to `digits` places, so
+    that equal vectors tie; what is returned isn't rounded. `shape` is the records' number and dimension, where both are known (more will do):
     records that are dear to make are then made once.
     """
     if metric not in METRICS:
@@ -169,15 +169,15 @@ def batch_top_k(queries: DataFrame, records: DataFrame, metric: str, k: int = 10
 
     def near(q: pa.Table, x: pa.Table) -> pa.Table:
         if not q.num_rows or not x.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["qid", "id", "distance"])
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["qid", "id", "place", "distance"])
         dense = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).astype(float)
         ids, names = x["id"].to_numpy(), q["qid"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        which, row, distance_ = _nearest_rows(dense(q), dense(x)[order], metric, k, digits)
-        return pa.table([pa.array(names[which]), pa.array(ids[order][row]), pa.array(distance_)], names=["qid", "id", "distance"])
+        which, row, place, distance_ = _nearest_rows(dense(q), dense(x)[order], metric, k, digits)
+        return pa.table([pa.array(names[which]), pa.array(ids[order][row]), pa.array(place), pa.array(distance_)], names=["qid", "id", "place", "distance"])
 
-    part = asked.groupBy("cell", "block").cogroup(there.groupBy("cell", "block")).applyInArrow(near, "qid long, id long, distance double")
-    order = Window.partitionBy("qid").orderBy("distance", "id")
+    part = asked.groupBy("cell", "block").cogroup(there.groupBy("cell", "block")).applyInArrow(near, "qid long, id long, place double, distance double")
+    order = Window.partitionBy("qid").orderBy("place", "id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 

@@ -286,7 +286,7 @@ def test_nearest_rows_of_odd_tables(monkeypatch, tile):
                     got = search._nearest_rows(asked, body, metric, 5, digits)
                     far = [np.round(search._exact(np.repeat(q[None], len(body), 0), body, metric), digits) for q in asked]
                 want = [(i, j, d[j]) for i, d in enumerate(far) for j in np.argsort(d, kind="stable")[:5]]
-                assert np.array_equal(np.column_stack(got), np.array(want), equal_nan=True)
+                assert np.array_equal(np.column_stack(got[:3]), np.array(want), equal_nan=True)
 
 
 def test_grid_sends_few_copies():
@@ -296,3 +296,11 @@ def test_grid_sends_few_copies():
         assert blocks * cells >= min(200, queries * records)
     blocks, cells = search._grid(615_000, 615_000, 64, 10, 200, 65_536, 64 << 20)
     assert blocks + cells < 60  # 200 cells took 200 copies of each query before
+
+
+def test_distances_are_rounded_once(spark):
+    """0.24999999 ties with 0.25 at six digits, but isn't it: a later rounding must see the distance itself."""
+    rows = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, vector array<double>")
+    asked = spark.createDataFrame([(7, [0.49999999])], "qid long, vector array<double>")
+    got = {r.id: r.distance for r in search.batch_top_k(asked, rows, "l2", 2, digits=6).collect()}
+    assert got[1] == 0.49999999**2 and round(got[1], 1) == 0.2
